@@ -100,3 +100,33 @@ class Rolling:
     def windows(self, prefix: np.ndarray, width: int) -> np.ndarray:
         n = len(prefix) - width
         return mix64((prefix[width:] - prefix[:n]) * self.down[:n])
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``checkpoint()`` into the shared folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        import tempfile
+
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+    return df.checkpoint()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(v, label): the smallest vertex that each vertex of the undirected edges (a, b) can reach.
+
+    Every round takes the smallest label among a vertex and its neighbours, then that label's own label (pointer
+    jumping); each round is cut by a checkpoint. Nothing but the number of changes reaches the driver.
+    """
+    both = checkpointed(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        least = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
+        step = checkpointed(least.join(jump, "label", "left").select("v", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        changed = step.where("old <> label").limit(1).count()
+        labels = step.select("v", "label")
+        if not changed:
+            return labels
