@@ -7,9 +7,10 @@ agree in a whole band of registers are candidates. At 32 bands of 4 registers a
 probability (1 - 0.8**4)**32 = 5e-8, without any cap.
 
 Documents with equal sets collapse to their smallest id first. In each bucket all members are compared with the smallest
-one, as a star whose members are dealt over tasks; stars give components, and only pairs of a bucket that are still in
-different components are compared in the second step, after a joint maximum-likelihood estimate of their similarity from
-the registers has ruled out those far below the threshold. Every link is confirmed on the full sets of both texts.
+one, as a star whose members are dealt over tasks; stars give components. Documents of buckets that still hold several
+components go to a second step, where pairs of different components must share a shingle of their rarest-first prefixes
+(no link can do without), and where a joint maximum-likelihood estimate of their similarity from the registers rules out
+those far below the threshold. Every link is confirmed on the full sets of both texts.
 
 Null or empty text, or text without words, has an empty set and is linked with nothing. Rows without an id get no
 component and are kept. Repeated rows give one result row each.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, bytes_of, checkpointed, components, id_and_text, mix64, slices, table
@@ -143,6 +144,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
 
 
+def _prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents (doc_id, text, label) of different labels that can reach the threshold.
+
+    With the shingles of a set of n in one order for all, rarest first, two sets that reach the threshold share one of
+    their first n - ceil(n * percent / 100) + 1. Copies edited in many places are full of shingles that nobody shares,
+    so they propose nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=1 << 20):
+            value, begin = shingles(bytes_of(batch.column(1)), width)
+            n = np.diff(begin)
+            row = np.repeat(np.arange(len(n)), n)
+            ids, label = (batch.column(k).to_numpy()[row] for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value.view(np.int64), ids, label, n[row].astype(np.int64))], ["shingle", "doc_id", "label", "n"])
+
+    sets = docs.mapInArrow(run, "shingle long, doc_id long, label long, n long")
+    common = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle"))
+    prefix = sets.join(common, "shingle").withColumn("place", place).where(F.col("place") <= F.expr(f"n - ceil(n * {percent} / 100.0D) + 1")).where("low < high")
+    prefix = checkpointed(prefix.select("shingle", "doc_id", "label", "n", "place"))
+    left, right = (prefix.select("shingle", F.col("doc_id").alias(k), F.col("label").alias(f"label_{k}"), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"place_{k}")) for k in "ab")
+    # At the first shared shingle, what is left of both sets bounds what they can share.
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
+    near = (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
+    return left.join(right, "shingle").where(near).select("a", "b").distinct()
+
+
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (with sizes and registers of both) whose estimate is not far below the threshold."""
 
@@ -171,16 +200,14 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     texts = own.join(reps, own["doc_id"] == reps["rep"], "left_semi").dropDuplicates(["doc_id"])
     links = checkpointed(_verified(stars, texts, width, percent))
     label = components(links)
-    # Members of a bucket whose component is not that of the bucket's smallest member: all pairs of different components.
+    # Documents of a bucket with several components are contested; their remaining links are found by prefixes.
     named = shared.join(label.select(F.col("v").alias("rep"), "label"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    left = checkpointed(named.join(mixed, "band", "left_semi"))
-    right = left.select("band", F.col("rep").alias("b"), F.col("label").alias("other"))
-    again = left.select("band", F.col("rep").alias("a"), "label").join(right, "band").where("a < b AND label <> other").select("a", "b").distinct()
+    contested = checkpointed(named.join(mixed, "band", "left_semi").select("rep", "label").distinct())
+    again = _prefix_pairs(texts.join(contested, texts["doc_id"] == contested["rep"]).select("doc_id", "text", "label"), width, percent)
     again = again.join(stars, ["a", "b"], "left_anti")
     size = kept.select("doc_id", "n", "registers")
     full = again.join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b")), "b")
-    full = full.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     more = checkpointed(_verified(checkpointed(_likely(full, percent)), texts, width, percent))
     if more.limit(1).count():
         label = components(links.union(more))
