@@ -102,14 +102,19 @@ class Rolling:
         return mix64((prefix[width:] - prefix[:n]) * self.down[:n])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the shared folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of its own only where that is unset, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``checkpoint()`` into the shared folder: lost executors cost no recomputation beyond it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
