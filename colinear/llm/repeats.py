@@ -164,7 +164,7 @@ def compare(gram: np.ndarray, off: np.ndarray, n: np.ndarray, pieces: list[bytes
 
 
 def _repeated(pieces: DataFrame) -> DataFrame:
-    """(doc_id, row, windows): the repeated windows of first segments, as (pos, mask), listed for each document."""
+    """(doc_id, windows): the repeated windows of first segments, as (row, pos, mask), listed for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -189,7 +189,7 @@ def _repeated(pieces: DataFrame) -> DataFrame:
 
     sorted_ = pieces.dropDuplicates(["gram", "doc_id", "row", "pos"]).repartition("gram").sortWithinPartitions("gram", "doc_id", "row", "pos")
     found = sorted_.mapInArrow(run, "doc_id long, row long, pos long, mask long")
-    return found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "mask")).alias("windows"))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("row", "pos", "mask")).alias("windows"))
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +197,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = id_and_text(docs, id_col, text_col)
     keyed = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("row"), F.col("doc_id").isNull().alias("no_id"))
     known = keyed.join(_first_segments(keyed), "doc_id", "left").select("doc_id", "text", "row", "firsts", "no_id")
-    marked = known.join(_repeated(_pieces(known)), ["doc_id", "row"], "left").select("doc_id", "text", "row", "firsts", "no_id", "windows")
+    marked = known.join(_repeated(_pieces(known)), "doc_id", "left").select("doc_id", "text", "row", "firsts", "no_id", "windows")
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,8 +207,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             again = ~s.first(batch.column(3).to_pylist())[0]
             np.add.at(edge, s.start[again], 1)
             np.add.at(edge, s.start[again] + s.n[again] - 1 + DEPTH, -1)
-            for d, windows in enumerate(batch.column(5).to_pylist()):
+            for d, (row, windows) in enumerate(zip(batch.column(2).to_pylist(), batch.column(5).to_pylist(), strict=True)):
                 for w in windows or ():
+                    if w["row"] != row:
+                        continue
                     at = np.flatnonzero(np.int64(w["mask"]) >> np.arange(SPAN) & 1) + s.begin[d] + w["pos"]
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + DEPTH, -1)
