@@ -31,10 +31,11 @@ from .common import Rolling, bytes_of, id_and_text, slices, table
 DEPTH = 100
 GRAM = 37
 SPAN = DEPTH - GRAM + 1  # grams in a window: 64, as many as a mask has bits
-CHUNK = 1 << 22  # windows whose anchors are found at once
+CHUNK = 1 << 20  # windows whose anchors are found at once
 PLACE = np.uint64((1 << 24) - 1)
 NO_ID = 2**63 - 1
-GROUP_ROWS = 50_000
+GROUP_ROWS = 20_000
+SLICE = 1 << 20  # bytes of text worked on at once: arrays take about a hundred times as much
 
 GRAMS, SEGMENTS = Rolling(101), Rolling(202)
 
@@ -101,7 +102,7 @@ def _first_segments(docs: DataFrame) -> DataFrame:
     """(doc_id, firsts): the segments whose first document it is; the lowest bit tells that their gram has others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             s = Segments(bytes_of(batch.column(1)))
             ids = batch.column(0).to_numpy(zero_copy_only=False)[s.doc].astype(np.int64)
             order = np.lexsort((ids, s.hash, s.gram))
@@ -123,7 +124,7 @@ def _pieces(known: DataFrame) -> DataFrame:
     """The bytes of first segments that share their gram with other segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             s = Segments(bytes_of(batch.column(1)))
             at = np.flatnonzero(s.first(batch.column(3).to_pylist())[1])
             raw, start, end = s.data.tobytes(), s.start[at], s.start[at] + s.n[at] - 1 + DEPTH
@@ -201,7 +202,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             s = Segments(bytes_of(batch.column(1)))
             edge = np.zeros(len(s.data) + 1, np.int32)
             again = ~s.first(batch.column(3).to_pylist())[0]
