@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -112,25 +113,26 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the shared folder: lost executors cost no recomputation beyond it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and lost executors cost no recomputation beyond it."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex that each vertex of the undirected edges (a, b) can reach.
 
     Every round takes the smallest label among a vertex and its neighbours, then that label's own label (pointer
-    jumping); each round is cut by a checkpoint. Nothing but the number of changes reaches the driver.
+    jumping); each round is stored. Nothing but the number of changes reaches the driver.
     """
-    both = checkpointed(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")))
+    both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         least = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        step = checkpointed(least.join(jump, "label", "left").select("v", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        step = stored(least.join(jump, "label", "left").select("v", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         changed = step.where("old <> label").limit(1).count()
         labels = step.select("v", "label")
         if not changed:

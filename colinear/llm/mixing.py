@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, table
+from .common import stored, table
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
@@ -62,7 +62,7 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: st
     """The kept columns of each document as often as drawn, with ``copy`` (from 1) and ``mix_key``, in the order of mix_key."""
     keep = docs.columns if keep is None else keep
     keep = [c for c in keep if c not in ("copy", "mix_key")]
-    cdf = checkpointed(rates(docs, weights, source_col, text_col).select("mix_source", distribution(F.col("rate")).alias("cdf")))
+    cdf = stored(rates(docs, weights, source_col, text_col).select("mix_source", distribution(F.col("rate")).alias("cdf")))
     if cdf.count() <= BROADCAST_SOURCES:
         cdf = F.broadcast(cdf)
     own = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, bytes_of, checkpointed, components, id_and_text, mix64, slices, table
+from .common import Rolling, bytes_of, stored, components, id_and_text, mix64, slices, table
 
 REGISTERS, BAND = 128, 4
 SCALE, RATE = 1.001, 20.0
@@ -164,7 +164,7 @@ def _prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
     common = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle"))
     prefix = sets.join(common, "shingle").withColumn("place", place).where(F.col("place") <= F.expr(f"n - ceil(n * {percent} / 100.0D) + 1")).where("low < high")
-    prefix = checkpointed(prefix.select("shingle", "doc_id", "label", "n", "place"))
+    prefix = stored(prefix.select("shingle", "doc_id", "label", "n", "place"))
     left, right = (prefix.select("shingle", F.col("doc_id").alias(k), F.col("label").alias(f"label_{k}"), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"place_{k}")) for k in "ab")
     # At the first shared shingle, what is left of both sets bounds what they can share.
     most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
@@ -188,27 +188,27 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: connected components of the links with Jaccard similarity >= percent / 100."""
     own = id_and_text(docs, id_col, text_col)
-    sets = checkpointed(_sets(own, width))
+    sets = stored(_sets(own, width))
     first = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"))
-    chosen = checkpointed(sets.where("n > 0").join(first.where("rep IS NOT NULL"), ["one", "two", "n"]).select("doc_id", "rep"))
-    reps = chosen.where("doc_id = rep").select("rep").distinct()
-    kept = sets.where("n > 0").join(reps, sets["doc_id"] == reps["rep"], "left_semi").dropDuplicates(["doc_id"])
-    buckets = checkpointed(kept.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band")))
-    pivots = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = buckets.join(pivots.select("band", "a"), "band")
-    stars = checkpointed(shared.where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
-    texts = own.join(reps, own["doc_id"] == reps["rep"], "left_semi").dropDuplicates(["doc_id"])
-    links = checkpointed(_verified(stars, texts, width, percent))
+    chosen = stored(sets.where("n > 0").join(first, ["one", "two", "n"]).select("doc_id", "rep").distinct())
+    reps = chosen.where("doc_id = rep").select("rep")
+    buckets = sets.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
+    pivots = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("band", "a")
+    shared = stored(buckets.join(pivots, "band").join(reps, "rep", "left_semi").select("band", "rep", "a").distinct())
+    stars = stored(shared.where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
+    members = stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    texts = stored(own.join(members, own["doc_id"] == members["rep"], "left_semi").dropDuplicates(["doc_id"]))
+    links = stored(_verified(stars, texts, width, percent))
     label = components(links)
     # Documents of a bucket with several components are contested; their remaining links are found by prefixes.
     named = shared.join(label.select(F.col("v").alias("rep"), "label"), "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
-    contested = checkpointed(named.join(mixed, "band", "left_semi").select("rep", "label").distinct())
+    contested = stored(named.join(mixed, "band", "left_semi").select("rep", "label").distinct())
     again = _prefix_pairs(texts.join(contested, texts["doc_id"] == contested["rep"]).select("doc_id", "text", "label"), width, percent)
     again = again.join(stars, ["a", "b"], "left_anti")
-    size = kept.select("doc_id", "n", "registers")
+    size = sets.select("doc_id", "n", "registers").join(contested.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     full = again.join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b")), "b")
-    more = checkpointed(_verified(checkpointed(_likely(full, percent)), texts, width, percent))
+    more = stored(_verified(stored(_likely(full, percent)), texts, width, percent))
     if more.limit(1).count():
         label = components(links.union(more))
     named = chosen.join(label.select(F.col("v").alias("rep"), "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component_id")).distinct()
