@@ -100,7 +100,7 @@ def extract(rows: DataFrame, name: str, start: int, stop: int) -> DataFrame:
     cut = rows.join(runs, "block_id").withColumn("piece", F.substring("text", (F.col("l") + 1).cast("int"), (F.col("r") - F.col("l") + 1).cast("int")))
     before = X.bases(F.substring(F.col("text"), F.lit(1), F.col("l").cast("int")))
     whole = (F.col("l") == 0) & (F.col("r") == F.length("text") - 1)
-    return cut.where(X.bases(F.col("piece")) > 0).select("block_id", "splice", "row_idx", "name", (F.col("start") + before).alias("start"), X.bases(F.col("piece")).cast("long").alias("length"), "strand", "source_length", F.col("piece").alias("text"), whole.alias("whole"))
+    return cut.where(whole | (X.bases(F.col("piece")) > 0)).select("block_id", "splice", "row_idx", "name", (F.col("start") + before).alias("start"), X.bases(F.col("piece")).cast("long").alias("length"), "strand", "source_length", F.col("piece").alias("text"), whole.alias("whole"))
 
 
 # Which bases (A 1, C 2, G 4, T 8) a consensus code stands for.
