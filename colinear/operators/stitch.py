@@ -40,7 +40,8 @@ def events(rows: DataFrame, penalty: int, interstitial: int, reference: str | No
 def stitch(rows: DataFrame, fasta: DataFrame, penalty: int, interstitial: int, reference: str | None = None) -> DataFrame:
     """(species, name, start, length, strand, source_length, text) in the order of first appearance (``place``)."""
     own = rows.withColumn("species", X.species(F.col("name")))
-    twice = own.groupBy("block_id", "species").count().where("count > 1").select(F.raise_error("a species has two rows in a block").cast("string").alias("e"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("block_id", "species"))
+    own = own.withColumn("species", F.when(n > 1, F.raise_error("a species has two rows in a block").cast("string")).otherwise(F.col("species")))
     ev = events(rows, penalty, interstitial, reference).where("width > 0")
     order = Window.partitionBy("species").orderBy("block_id", "row_idx")
     collapsed = ev.withColumn("broken", F.coalesce(F.max(F.col("kind").isin("name", "distance").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -59,7 +60,7 @@ def stitch(rows: DataFrame, fasta: DataFrame, penalty: int, interstitial: int, r
     marks = ev.groupBy("species").agg(F.max(F.col("kind").isin("name", "distance").cast("int")).alias("many"), F.max(F.col("kind").isin("strand", "name").cast("int")).alias("both"))
     many, both = F.coalesce("many", F.lit(0)) == 1, F.coalesce("both", F.lit(0)) == 1
     length = X.bases(F.col("text")).cast("long")
-    return text.join(kinds, "species").join(marks, "species", "left").join(twice.select(F.col("e")), F.lit(False), "left").select(
+    return text.join(kinds, "species").join(marks, "species", "left").select(
         "species", F.when(many, F.col("species")).otherwise(F.col("first.name")).alias("name"), F.when(many, 0).otherwise(F.col("first.start")).alias("start"), length.alias("length"),
         F.when(both, "*").otherwise(F.col("first.strand")).alias("strand"), F.when(many, length).otherwise(F.col("first.source_length")).alias("source_length"), "text", F.struct("first.block_id", "first.row_idx").alias("place"),
     )
