@@ -164,8 +164,10 @@ def _prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     sets = docs.mapInArrow(run, "shingle long, doc_id long, label long, n long")
     common = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "shingle"))
-    prefix = sets.join(common, "shingle").withColumn("place", place).where(F.col("place") <= F.expr(f"n - ceil(n * {percent} / 100.0D) + 1")).where("low < high")
+    # Shingles of one document come first and are only counted: their number is what the set lacks among the others.
+    own = Window.partitionBy("doc_id")
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "shingle"))
+    prefix = sets.join(common.where("df > 1"), "shingle").withColumn("place", place).where(F.col("place") <= F.expr(f"n - ceil(n * {percent} / 100.0D) + 1")).where("low < high")
     prefix = stored(prefix.select("shingle", "doc_id", "label", "n", "place"))
     left, right = (prefix.select("shingle", F.col("doc_id").alias(k), F.col("label").alias(f"label_{k}"), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"place_{k}")) for k in "ab")
     # At the first shared shingle, what is left of both sets bounds what they can share.
