@@ -18,15 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, kind_count, span_digest, table
+from .common import id_and_text, kind_count, span_digest, stored, table
 
 # The base patterns.
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]{24,}"  # the maximal runs of 24 or more, as a longest leftmost match takes a whole run
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # the maximal runs of 24 or more, as a longest leftmost match takes a whole run
 
 KEYID = r"(?i:(access[_-]?key[_-]?id|client[_-]?id|key[_-]?id|username))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@=-]{4,})"
-BLOB = r"[A-Za-z0-9+/]{32,}={0,2}"
+BLOB = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32,}+={0,2}"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[A-Za-z0-9._~/-]*)?"
 
 BASE = ("assign", "access", "hex")
@@ -39,8 +39,12 @@ MASK = "[secret]"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def _found(text: Column, kind: str, pattern: str, holds) -> Column:  # noqa: ANN001
-    """Spans of the pattern's matches for which holds(match) is true."""
+# Literals of which a text must hold one for the kind's pattern to match at all, compared in lower case where ``lower``.
+LITERALS = {"assign": ("password", "passwd", "secret", "token", "api_key", "apikey"), "keyid": ("username", "client", "key"), "access": ("AKIA",), "endpoint": ("http",)}
+
+
+def _found(text: Column, lower: Column, kind: str, pattern: str, holds) -> Column:  # noqa: ANN001
+    """Spans of the pattern's matches for which holds(match) is true; texts without its literals are not searched."""
     parts = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0001"), "\u0001", -1)
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("spans"))
     rank = KINDS.index(kind)
@@ -52,20 +56,24 @@ def _found(text: Column, kind: str, pattern: str, holds) -> Column:  # noqa: ANN
         taken = F.when((acc["i"] % 2 == 1) & holds(part), more).otherwise(acc["spans"])
         return F.struct((acc["i"] + 1).alias("i"), end.alias("at"), taken.cast(SPAN).alias("spans"))
 
-    return F.when(F.size(parts) > 1, F.coalesce(F.aggregate(parts, start, step)["spans"], F.array().cast(SPAN))).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+    spans = F.coalesce(F.aggregate(parts, start, step)["spans"], none)
+    likely = F.lit(kind not in LITERALS)
+    for word in LITERALS.get(kind, ()):
+        likely = likely | (lower if kind in ("assign", "keyid") else text).contains(word)
+    return F.when(likely, spans).otherwise(none)
 
 
-def parts(text: Column) -> Column:
-    """All parts of every kind, ordered by start, then kind."""
-    text = F.translate(F.coalesce(text, F.lit("")), "\u0001", "\u0002")
+def parts(text: Column, lower: Column) -> Column:
+    """All parts of every kind, ordered by start, then kind. lower: the text in lower case."""
     mixed = lambda x: x.rlike("[0-9]") & x.rlike("[a-z]") & x.rlike("[A-Z]")
     every = (
-        _found(text, "assign", ASSIGN, lambda x: F.length(F.regexp_extract(x, ASSIGN, 2)) >= 6),
-        _found(text, "access", ACCESS, lambda x: F.length(x) >= 20),
-        _found(text, "hex", HEX, lambda x: F.lit(True)),
-        _found(text, "keyid", KEYID, lambda x: F.lit(True)),
-        _found(text, "blob", BLOB, mixed),
-        _found(text, "endpoint", ENDPOINT, lambda x: F.lit(True)),
+        _found(text, lower, "assign", ASSIGN, lambda x: F.length(F.regexp_extract(x, ASSIGN, 2)) >= 6),
+        _found(text, lower, "access", ACCESS, lambda x: F.length(x) >= 20),
+        _found(text, lower, "hex", HEX, lambda x: F.lit(True)),
+        _found(text, lower, "keyid", KEYID, lambda x: F.lit(True)),
+        _found(text, lower, "blob", BLOB, mixed),
+        _found(text, lower, "endpoint", ENDPOINT, lambda x: F.lit(True)),
     )
     return F.array_sort(F.concat(*every))
 
@@ -96,13 +104,16 @@ def _base(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*BASE))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"), parts(F.col("text")).alias("parts"))
+def _with_parts(docs: DataFrame) -> DataFrame:
+    """The rows with ``id``, ``hash`` and ``parts``. The generator keeps filters on parts from computing them twice."""
+    plain = F.coalesce("text", F.lit(""))
+    clean = docs.withColumn("clean", F.when(plain.contains("\u0001"), F.translate(plain, "\u0001", "\u0002")).otherwise(plain)).withColumn("low", F.lower("clean"))
+    return clean.select(*docs.columns, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"), F.explode(F.array(parts(F.col("clean"), F.col("low")))).alias("parts"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans (base and linked), ordered by start, then kind. Only parts of few documents are shuffled for links."""
-    keyed = _keyed(id_and_text(docs, id_col, text_col))
+    keyed = stored(_with_parts(id_and_text(docs, id_col, text_col)).select("doc_id", "id", "hash", "parts"))
     found = keyed.select("doc_id", "id", "hash", _base(F.col("parts")).alias("base")).join(_linked(keyed), ["id", "hash"], "left")
     return found.select("doc_id", F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(SPAN)))).alias("spans"))
 
@@ -123,7 +134,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The documents, all their columns, with every reported secret masked. Only documents with candidates are joined."""
     columns = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    keyed = inner.select("row", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64("text").alias("hash"), parts(F.col("text")).alias("parts"))
+    keyed = _with_parts(inner)
     plain = keyed.where(~_linkable(F.col("parts"))).select("row", "text", _base(F.col("parts")).alias("spans"))
     joined = keyed.where(_linkable(F.col("parts"))).join(_linked(keyed), ["id", "hash"], "left")
     joined = joined.select("row", "text", F.array_sort(F.concat(_base(F.col("parts")), F.coalesce("linked", F.array().cast(SPAN)))).alias("spans"))
