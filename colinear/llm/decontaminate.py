@@ -62,7 +62,7 @@ class Block:
         self.pairs[self._pair(lead[:, 0], lead[:, 1])] = True
 
     def _keys(self, rows: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(rows).view(f"S{4 * self.width}").ravel()
+        return rows.copy(order="C").view(f"S{4 * self.width}").ravel()
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a * 1_000_003 + b) & (len(self.pairs) - 1)
