@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..sources.maf import cells
 
-BLOCK = Window.partitionBy("block_id")
+def block():  # noqa: ANN201
+    """A window over each block. It is made when asked for: making one needs a session."""
+    return Window.partitionBy("block_id")
 
 
 def filter_blocks(lines: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, degree_lt: int | None = None, degree_gt: int | None = None) -> DataFrame:
@@ -23,9 +25,9 @@ def filter_blocks(lines: DataFrame, include: list[str] | None = None, exclude: l
     if names:
         keep = X.starts_with_any(F.col("name"), include) if include is not None else ~X.starts_with_any(F.col("name"), exclude)
         kept = lines.where(~is_s | keep)
-        gate = F.max((F.col("type") == "s").cast("int")).over(BLOCK) == 1
+        gate = F.max((F.col("type") == "s").cast("int")).over(block()) == 1
     else:
-        kept, n = lines, F.sum(is_s.cast("long")).over(BLOCK)
+        kept, n = lines, F.sum(is_s.cast("long")).over(block())
         gate = n > 0
         gate = gate & (n >= degree_lt) if degree_lt is not None else gate
         gate = gate & (n <= degree_gt) if degree_gt is not None else gate
@@ -37,7 +39,7 @@ def order_rows(rows: DataFrame, names: list[str]) -> DataFrame:
     bucket = F.lit(None).cast("int")
     for i in reversed(range(len(names))):
         bucket = F.when(F.col("name").startswith(names[i]), i).otherwise(bucket)
-    place = F.row_number().over(BLOCK.orderBy("bucket", "row_idx")).cast("long") - 1
+    place = F.row_number().over(block().orderBy("bucket", "row_idx")).cast("long") - 1
     return rows.withColumn("bucket", bucket).where("bucket IS NOT NULL").withColumn("place", place).drop("bucket")
 
 
@@ -60,8 +62,8 @@ def flip(rows: DataFrame, when: Column) -> DataFrame:
 def coerce_strand(rows: DataFrame, prefix: str, strand: str = "+") -> DataFrame:
     """Flip every row of a block whose target rows all have the other strand."""
     target = F.col("name").startswith(prefix)
-    wrong = F.max((target & (F.col("strand") != strand)).cast("int")).over(BLOCK)
-    right = F.max((target & (F.col("strand") == strand)).cast("int")).over(BLOCK)
+    wrong = F.max((target & (F.col("strand") != strand)).cast("int")).over(block())
+    right = F.max((target & (F.col("strand") == strand)).cast("int")).over(block())
     marked = rows.withColumn("_flip", (wrong == 1) & (right == 0))
     return flip(marked, F.col("_flip")).drop("_flip")
 
@@ -94,9 +96,9 @@ def extract(rows: DataFrame, name: str, start: int, stop: int) -> DataFrame:
     low, high = min(start, stop), max(start, stop)
     target = cells(rows.where((F.col("name") == name) & overlaps(start, stop))).where(F.col("pos").between(low, high))
     columns = target.select("block_id", "col").distinct()
-    run = columns.withColumn("island", F.col("col") - F.row_number().over(BLOCK.orderBy("col")))
+    run = columns.withColumn("island", F.col("col") - F.row_number().over(block().orderBy("col")))
     runs = run.groupBy("block_id", "island").agg(F.min("col").alias("l"), F.max("col").alias("r"))
-    runs = runs.withColumn("splice", F.row_number().over(BLOCK.orderBy("l")).cast("long") - 1)
+    runs = runs.withColumn("splice", F.row_number().over(block().orderBy("l")).cast("long") - 1)
     cut = rows.join(runs, "block_id").withColumn("piece", F.substring("text", (F.col("l") + 1).cast("int"), (F.col("r") - F.col("l") + 1).cast("int")))
     before = X.bases(F.substring(F.col("text"), F.lit(1), F.col("l").cast("int")))
     whole = (F.col("l") == 0) & (F.col("r") == F.length("text") - 1)

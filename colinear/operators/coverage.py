@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..sources.maf import cells
 
-BLOCK = Window.partitionBy("block_id")
 CHUNK = 62
 
 
