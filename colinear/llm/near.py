@@ -32,6 +32,7 @@ KEPT = 128  # registers kept for the joint estimate
 SCALE, RATE = 1.001, 20.0
 STAR = 256  # members of a star in one task
 MARGIN = 0.25  # below the threshold, about seven standard errors of the estimate
+FILTER_WORDS = 1 << 18  # words of 64 bits in the filter of ids, about 10 MB as a broadcast table
 
 WORDS = Rolling(303)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -189,6 +190,19 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, ...) whose id is among ``ids`` (doc_id), before whose exchange most others are dropped.
+
+    A filter of one bit for each hash of an id, FILTER_WORDS rows at most however many ids there are, is broadcast; what
+    passes it is joined exactly. The fuller the filter, the more rows pass it; with all bits set it only costs its probe.
+    """
+    hashed = F.xxhash64("doc_id")
+    word, bit = F.pmod(hashed, F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
+    words = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    likely = docs.join(F.broadcast(words), word == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).select(docs.columns)
+    return likely.join(ids, "doc_id", "left_semi")
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: connected components of the links with Jaccard similarity >= percent / 100."""
     own = id_and_text(docs, id_col, text_col)
@@ -200,8 +214,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     pivots = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("band", "a")
     shared = stored(buckets.join(pivots, "band").join(reps, "rep", "left_semi").select("band", "rep", "a").distinct())
     stars = stored(shared.where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
-    members = stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    texts = stored(own.join(members, own["doc_id"] == members["rep"], "left_semi").dropDuplicates(["doc_id"]))
+    members = stored(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = stored(_among(own, members).dropDuplicates(["doc_id"]))
     links = stored(_verified(stars, texts, width, percent))
     label = components(links)
     # Documents of a bucket with several components are contested; their remaining links are found by prefixes.
