@@ -43,6 +43,13 @@ def order_rows(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.withColumn("bucket", bucket).where("bucket IS NOT NULL").withColumn("place", place).drop("bucket")
 
 
+def order_by_gaps(lines: DataFrame) -> DataFrame:
+    """``place`` of each line in its block: lines of other types first, then s lines by number of gaps, earlier ones first on ties."""
+    gaps = F.when(F.col("type") == "s", F.length("text") - X.bases(F.col("text"))).otherwise(F.lit(-1))
+    place = F.row_number().over(Window.partitionBy(*[c for c in ("path", "block_id") if c in lines.columns]).orderBy("gaps", "line_idx")).cast("long") - 1
+    return lines.withColumn("gaps", gaps).withColumn("place", place).drop("gaps")
+
+
 def sort_blocks(rows: DataFrame, prefix: str) -> DataFrame:
     """(block_id, key, place): blocks without the target first, then by the target's largest left coordinate."""
     left = X.pos_left(F.col("start"), F.col("length"), F.col("strand"), F.col("source_length"))

@@ -62,6 +62,11 @@ def row_order(spark, d):
     return blocks.order_rows(alignment(spark, d), ["sp3", "sp1.chr1", "sp1"]).select("block_id", "row_idx", "name", "place")
 
 
+@query("SELECT block_id, row_idx, name, row_number() OVER (PARTITION BY block_id ORDER BY length(text) - length(replace(text, '-', '')), row_idx) AS place FROM a")
+def gap_order(spark, d):
+    return blocks.order_by_gaps(lines(spark, d)).where("type = 's'").select("block_id", (F.col("line_idx") - 1).alias("row_idx"), "name", "place")
+
+
 @query(f"SELECT block_id, max(CASE WHEN name LIKE 'sp0%' THEN {LEFT} END) AS key FROM a GROUP BY block_id")
 def block_sort(spark, d):
     return blocks.sort_blocks(alignment(spark, d), "sp0")

@@ -14,33 +14,75 @@ from ..functions import exprs as X
 FIELDS = ("name", "start", "length", "strand", "source_length", "text")
 
 
-def parse_lines(files: DataFrame) -> DataFrame:
-    """Lines of (path, value) rows, value being a whole file. Whitespace-only lines end a block and are dropped."""
-    split = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    lines = files.select("path", F.posexplode(split).alias("line_idx", "raw")).withColumn("line_no", F.col("line_idx") + 1)
-    order = Window.partitionBy("path").orderBy("line_idx")
-    blank = F.trim(F.regexp_replace("raw", r"\s+", " ")) == ""
-    lines = lines.withColumn("blank", blank).withColumn("type", F.when(blank, None).when(F.col("raw").startswith("##maf") | F.col("raw").startswith("track"), "h").otherwise(F.substring(F.col("raw"), 1, 1)))
-    # The header is what stands before the first blank or a line.
-    lines = lines.withColumn("body", F.max(((F.col("blank")) | (F.col("type") == "a")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    lines = lines.withColumn("gaps", F.sum((F.col("blank") | ((F.col("type") == "a") & (F.lag("body", 1, 0).over(order) == 0))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = lines.where(~F.col("blank")).withColumn("block_id", F.when(F.col("body") == 0, F.lit(0)).otherwise(F.dense_rank().over(Window.partitionBy("path", F.col("body") > 0).orderBy("gaps"))).cast("long"))
-    part = F.split(F.trim("raw"), r"[ \t]+")
+def _fields(lines: DataFrame) -> DataFrame:
+    """The columns of ``lines`` from (path, block_id, line_idx, raw)."""
     is_s = F.col("type") == "s"
 
     def field(i: int, kind: str) -> Column:
         return F.when(is_s, F.expr(f"try_cast(get(split(trim(raw), '[ \\\\t]+'), {i}) AS {kind})"))
 
-    return kept.select(
-        "path", "block_id", F.col("line_idx").cast("long"), F.col("line_no").cast("long"), "type", "raw",
+    kind = F.when(F.col("raw").startswith("##maf") | F.col("raw").startswith("track"), "h").otherwise(F.substring("raw", 1, 1))
+    return lines.withColumn("type", kind).select(
+        "path", F.col("block_id").cast("long").alias("block_id"), F.col("line_idx").cast("long").alias("line_idx"), (F.col("line_idx") + 1).cast("long").alias("line_no"), "type", "raw",
         field(1, "string").alias("name"), field(2, "long").alias("start"), field(3, "long").alias("length"),
-        field(4, "string").alias("strand"), field(5, "long").alias("source_length"), field(6, "string").alias("text"), F.size(part).alias("n_fields"),
+        field(4, "string").alias("strand"), field(5, "long").alias("source_length"), field(6, "string").alias("text"), F.size(F.split(F.trim("raw"), r"[ \t]+")).alias("n_fields"),
+    )
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Number the lines and blocks of (path, part, at, raw): parts of a file in order, and the order of lines in a part.
+
+    A line opens a block if it is not blank and follows a blank one, or if it is the first a line and nothing blank came
+    before it; what precedes is the header, block 0. Blocks are counted through all files in the order of their paths, so
+    a block_id other than 0 is of one block. Windows reach over one part. Between parts only one row for each part is
+    ordered: its number of lines, whether its last line is blank and where its first blank or a line stands.
+    """
+    lines = lines.withColumn("raw", F.regexp_replace("raw", "\r", ""))
+    own = Window.partitionBy("path", "part").orderBy("at")
+    blank = F.trim(F.regexp_replace("raw", r"\s+", " ")) == ""
+    told = lines.withColumns({"blank": blank, "mark": blank | F.col("raw").startswith("a"), "k": F.row_number().over(own).cast("long") - 1, "before": F.lag(blank).over(own)})
+    last = F.max_by("blank", "k").alias("last")
+    parts = told.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"), last, F.min(F.when(F.col("mark"), F.col("k"))).alias("marked"))
+    order = Window.partitionBy("path").orderBy("part")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        "path", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"), F.lag("last").over(order).alias("carried"),
+        "marked", F.coalesce(F.count("marked").over(earlier) > 0, F.lit(False)).alias("in_body"),
     )
+    placed = told.join(parts, ["path", "part"])
+    first = ~F.col("in_body") & F.coalesce(F.col("k") == F.col("marked"), F.lit(False))
+    body = F.col("in_body") | F.coalesce(F.col("k") >= F.col("marked"), F.lit(False))
+    opens = ~F.col("blank") & body & (first | F.coalesce("before", "carried", F.lit(False)))
+    placed = placed.withColumns({"body": body, "opens": opens.cast("long"), "line_idx": F.col("offset") + F.col("k")})
+    opened = placed.groupBy("path", "part").agg(F.sum("opens").alias("opened"))
+    every = Window.orderBy("path", "part").rowsBetween(Window.unboundedPreceding, -1)
+    base = opened.select("path", "part", F.coalesce(F.sum("opened").over(every), F.lit(0)).alias("base"))
+    block = F.when(F.col("body"), F.col("base") + F.sum("opens").over(own)).otherwise(0)
+    return placed.join(base, ["path", "part"]).withColumn("block_id", block).where("NOT blank").select("path", "block_id", "line_idx", "raw")
+
+
+def parse_lines(files: DataFrame) -> DataFrame:
+    """Lines of (path, value) rows, value being a whole file. Whitespace-only lines end a block and are dropped."""
+    return _fields(_numbered(files.select("path", F.lit(0).alias("part"), F.posexplode(F.split("value", "\n")).alias("at", "raw"))))
+
+
+def parse_each(files: DataFrame) -> DataFrame:
+    """As ``parse_lines``, by expressions on each row alone: no shuffle, and fit for a stream of whole files."""
+    lines = "transform(split(replace(value, '\\r', ''), '\\n'), (x, i) -> named_struct('i', cast(i AS bigint), 'raw', x, 'b', trim(regexp_replace(x, '\\\\s+', ' ')) = ''))"
+    marks = f"array_min(transform(filter({lines}, l -> l.b OR startswith(l.raw, 'a')), l -> l.i))"
+    # A line opens a block after a blank one, or where the body begins; blocks are counted by the opening lines up to it.
+    told = files.selectExpr("path", f"{lines} AS l", f"coalesce({marks}, {1 << 62}L) AS body")
+    opening = told.selectExpr("path", "l", "body", "array_sort(transform(filter(l, x -> NOT x.b AND x.i >= body AND (x.i = body OR l[cast(x.i AS int) - 1].b)), x -> x.i)) AS opens")
+    spans = "transform(opens, (o, k) -> named_struct('block', k + 1, 'from', cast(o AS int), 'to', cast(coalesce(get(opens, k + 1), size(l)) AS int)))"
+    header = "array(named_struct('block', 0, 'from', 0, 'to', cast(least(body, size(l)) AS int)))"
+    each = opening.selectExpr("path", "l", f"explode(concat({header}, {spans})) AS s").selectExpr("path", "s.block AS block_id", "explode(filter(slice(l, s.from + 1, s.to - s.from), x -> NOT x.b)) AS x")
+    return _fields(each.selectExpr("path", "block_id", "x.i AS line_idx", "x.raw AS raw"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One task for each file, as a block may begin anywhere; many files are read side by side."""
-    return parse_lines(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+    """Files are cut by byte ranges as any text source, so one file is read by many tasks; ranges are the parts that are numbered."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    return _fields(_numbered(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))))
 
 
 def rows(lines: DataFrame) -> DataFrame:
