@@ -4,9 +4,10 @@ Base kinds are always reported: ``assign`` (a named secret with a value of 6 or
 identifiers) and ``hex`` (24 or more hexadecimal digits). Weak candidates say little alone: ``keyid`` (a named user or
 key identifier), ``blob`` (a long mixed token) and ``endpoint`` (a URL). A weak candidate is reported only when a
 complementary part lies within SCOPE code points: an identifier needs a secret, a blob an identifier or endpoint, an
-endpoint a secret or access identifier. That is an interval join: parts fall into tiles of SCOPE code points, each
-(document, tile, role) is summed up by its first start and last end, and a candidate probes its own tile and both
-neighbours, so dense documents cost no pairs.
+endpoint a secret or access identifier. That is an interval join: a part is filed under every tile of SCOPE code points
+from its start to its end, each (document, tile, role) is summed up by its first start and last end, and a candidate
+probes every tile from SCOPE before its start to SCOPE after its end, so dense documents cost no pairs and the rows grow
+with the length of the parts. The sums are exact: parts on both sides of a candidate's scope never share a tile.
 
 Spans are code points, end exclusive, leftmost and non-overlapping within a kind. They are found by putting a mark
 around every match and adding up the lengths of what lies between the marks; U+0001, the mark, is read as U+0002, which
@@ -90,9 +91,10 @@ def _linkable(spans: Column) -> Column:
 def _linked(keyed: DataFrame) -> DataFrame:
     """(id, hash, linked): the weak candidates with a complementary part in scope, for each text that has any."""
     part = keyed.where(_linkable(F.col("parts"))).select("id", "hash", F.explode("parts").alias("p")).select("id", "hash", "p.*").distinct()
-    part = part.withColumn("tile", F.floor(F.col("start") / SCOPE).cast("long"))
-    tiles = part.groupBy("id", "hash", "tile", _role(F.col("kind")).alias("role")).agg(F.min("start").alias("first"), F.max("end").alias("last"))
-    near = F.explode(F.array(*[F.col("tile") + k for k in (-1, 0, 1)]))
+    tile = lambda at: F.floor(at / SCOPE).cast("long")
+    filed = part.withColumn("tile", F.explode(F.sequence(tile(F.col("start")), tile(F.col("end")))))
+    tiles = filed.groupBy("id", "hash", "tile", _role(F.col("kind")).alias("role")).agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    near = F.explode(F.sequence(tile(F.col("start") - SCOPE), tile(F.col("end") + SCOPE)))
     needs = F.element_at(F.create_map(*[x for k, r in NEEDS.items() for x in (F.lit(k), F.array(*map(F.lit, r)))]), F.col("kind"))
     probe = part.where(F.col("kind").isin(*WEAK)).select("id", "hash", "start", "rank", "end", "kind", near.alias("tile"), needs.alias("needs"))
     in_scope = (F.col("first") - F.col("end") <= SCOPE) & (F.col("start") - F.col("last") <= SCOPE) & F.array_contains("needs", F.col("role"))

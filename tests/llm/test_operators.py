@@ -49,6 +49,29 @@ def test_secrets_base_and_links(spark):
     assert row[1].spans == []
 
 
+def test_secret_links_against_all_pairs(spark):
+    """Every gap around SCOPE, at shifted places, for short and long parts on either side of long and short candidates."""
+    texts, shift = [], 0
+    jwt, path = "Ab1." * 500, "a1/" * 700
+    for size in (8, 190, 250, 600, 2000):
+        for gap in (1, 199, 200, 201, 390):
+            shift = (shift * 7 + 61) % 400
+            token, url, blob = f"token={jwt[:size]}", f"https://{path[:size]}", ("aB3" * 700)[: max(size, 33)]
+            name, apart = "username=someone", " " + "-" * (gap - 2) + " " if gap > 1 else " "
+            for a, b in ((token, name), (name, token), (token, url), (url, token), (blob, url), (url, blob), (token, "http://b.c"), ("http://b.c", token)):
+                texts.append(" " * shift + a + apart + b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = secrets._with_parts(docs).select("doc_id", "parts").collect()
+    want = {}
+    for r in every:
+        near = lambda s, p: p.start - s.end <= 200 and s.start - p.end <= 200
+        linked = lambda s, r=r: any(secrets.ROLE[p.kind] in secrets.NEEDS[s.kind] and near(s, p) for p in r.parts)
+        want[r.doc_id] = [(s.kind, s.start, s.end) for s in r.parts if s.kind in secrets.BASE or linked(s)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert got == want
+    assert sum(len(r.parts) for r in every) > sum(map(len, want.values())) > len(texts)
+
+
 def test_repeats_against_brute_force(docs, empty):
     first, want = {}, defaultdict(list)
     for i, t in sorted({(i, t or "") for i, t in TEXTS}):
