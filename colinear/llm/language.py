@@ -4,7 +4,9 @@ Learning: counts of letter trigrams (the neighbours of every letter, word edges
 documents, hashed into 2**16 cells, as log probabilities with add-half smoothing. Inference: the words of a document are
 draws from a mixture of languages; expectation-maximisation estimates the proportions, and the set of languages is the
 one with the best likelihood less PENALTY * log(words) for every language after the first, along the order of their
-proportions. The prediction is the largest language of that set, its score that language's proportion.
+proportions, of any size up to all languages. A document's search ends where no larger set can win: the likelihood is
+concave in the proportions, which bounds it over all sets from one estimate. The prediction is the largest language of
+the set, its score that language's proportion.
 
 Only ``text`` is an input of a prediction. Documents whose crc32(doc_id as text) mod 5 is 0, and those without an id, are
 never learnt from. A null text, one without letters, or a model without languages gives ``und`` and score 0. Repeated
@@ -29,7 +31,7 @@ CELLS = 1 << 16
 MAX_LANGUAGES = 256
 FOLDS = 5
 PENALTY = 3.0
-ROUNDS, SET_ROUNDS, LARGEST_SET = 8, 5, 3
+ROUNDS, SET_ROUNDS = 8, 5
 UNKNOWN = "und"
 
 
@@ -103,29 +105,47 @@ def mixtures(texts: list[str | None], log_p: np.ndarray) -> tuple[np.ndarray, np
     chance = np.exp(np.maximum(like - best[:, None], -60), dtype=np.float32)
     docs, first = np.unique(owner, return_index=True)
     n = np.diff(np.append(first, len(owner)))
-    row = np.repeat(np.arange(len(docs)), n)
 
-    def em(share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    def fitted(share: np.ndarray, chance: np.ndarray, first: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        f = (chance * share[row]).sum(axis=1) + np.float32(1e-30)
+        return f, np.add.reduceat(np.log(f).astype(np.float64), first)
+
+    def em(share: np.ndarray, rounds: int, chance: np.ndarray, first: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
         for _ in range(rounds):
             part = chance * share[row]
             part /= part.sum(axis=1, keepdims=True) + np.float32(1e-30)
             share = (np.add.reduceat(part, first, axis=0) / n[:, None]).astype(np.float32)
-        fit = np.log((chance * share[row]).sum(axis=1) + np.float32(1e-30))
-        return share, np.add.reduceat(fit.astype(np.float64), first)
+        return share
 
     single = np.add.reduceat((like - best[:, None]).astype(np.float64), first, axis=0)
     top = single.argmax(axis=1)
     chosen, gain, count = np.eye(n_langs, dtype=np.float32)[top], single.max(axis=1), np.ones(len(docs), np.int64)
     if n_langs > 1:
-        full, _ = em(np.full((len(docs), n_langs), 1 / n_langs, np.float32), ROUNDS)
+        row = np.repeat(np.arange(len(docs)), n)
+        full = em(np.full((len(docs), n_langs), 1 / n_langs, np.float32), ROUNDS, chance, first, row, n)
         order = np.argsort(-full, axis=1, kind="stable")
-        for k in range(2, min(n_langs, LARGEST_SET) + 1):
-            mask = np.zeros_like(full)
-            np.put_along_axis(mask, order[:, :k], 1, axis=1)
-            share, fit = em((full + np.float32(1e-3)) * mask / ((full + np.float32(1e-3)) * mask).sum(axis=1, keepdims=True), SET_ROUNDS)
-            fit = fit - PENALTY * (k - 1) * np.log(n + 1)
-            better = fit > gain
-            chosen[better], gain[better], count[better] = share[better], fit[better], k
+        # No proportions q fit better than full by more than n * log of the largest mean of chance / f, nor better than 0.
+        f, fit = fitted(full, chance, first, row)
+        ratio = np.add.reduceat(chance / f[:, None], first, axis=0, dtype=np.float64).max(axis=1) / n
+        bound = np.minimum(fit + n * np.log(np.maximum(ratio, 1)), 0) + 1e-3 + 1e-5 * n
+        open_ = np.arange(len(docs))
+        for k in range(2, n_langs + 1):
+            still = bound[open_] - PENALTY * (k - 1) * np.log(n[open_] + 1) > gain[open_]
+            if not still.all():
+                words = still[row]
+                open_, chance = open_[still], chance[words]
+                if not len(open_):
+                    break
+                row = np.repeat(np.arange(len(open_)), n[open_])
+                first = np.append(0, np.cumsum(n[open_])[:-1])
+            mask = np.zeros((len(open_), n_langs), np.float32)
+            np.put_along_axis(mask, order[open_, :k], 1, axis=1)
+            start = (full[open_] + np.float32(1e-3)) * mask
+            share = em(start / start.sum(axis=1, keepdims=True), SET_ROUNDS, chance, first, row, n[open_])
+            fit = fitted(share, chance, first, row)[1] - PENALTY * (k - 1) * np.log(n[open_] + 1)
+            better = fit > gain[open_]
+            at = open_[better]
+            chosen[at], gain[at], count[at] = share[better], fit[better], k
     out[docs], size[docs] = chosen, count
     return out, size
 

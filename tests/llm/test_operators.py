@@ -129,3 +129,46 @@ def test_language_unknown_without_letters(docs, empty):
     got = {r.doc_id: r.lang_pred for r in language.predict(docs, (names, log_p)).collect()}
     assert got[5] == got[6] == "und" and got[1] == "en"
     assert {r.lang_pred for r in language.predict(docs, language.learn(empty)).collect()} == {"und"}
+
+
+def test_language_of_four_and_more():
+    """Every size of set is open, and the bound that ends the search loses nothing against trying all sizes."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = {k: ["".join(chr(97 + (5 * k + j) % 26) for j in rng.integers(0, 9, 6)) for _ in range(300)] for k in range(6)}
+    counts = np.full((language.CELLS, 6), 0.5)
+    for k, w in words.items():
+        np.add.at(counts[:, k], language.features([" ".join(w * 3)])[0], 1)
+    log_p = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    mixes = ([400], [300, 300], [200] * 3, [250] * 4, [400, 200, 200, 200], [150] * 5, [200] * 6, [3, 2], [900, 30, 25, 20])
+    texts = [" ".join(" ".join(rng.choice(words[k], n)) for k, n in enumerate(m)) for m in mixes]
+    share, size = language.mixtures(texts, log_p)
+    assert size[:7].tolist() == [1, 2, 3, 4, 4, 5, 6]
+    assert np.allclose(share[3].max(), 0.25, atol=0.03) and np.allclose(share[4].max(), 0.4, atol=0.03)
+    for text, own, n in zip(texts, share, size, strict=True):
+        alone, n_alone = language.mixtures([text], log_p)
+        assert n_alone[0] == n and np.allclose(alone[0], own, atol=1e-5)
+        assert n == plain_size(text, log_p)
+
+
+def plain_size(text, log_p):
+    """The best set's size by the definition, trying every size."""
+    import numpy as np
+
+    cell, starts, _ = language.features([text])
+    like = np.add.reduceat(log_p[cell], starts, axis=0).astype(float)
+    chance = np.exp(np.maximum(like - like.max(axis=1, keepdims=True), -60))
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            share = (chance * share / (chance * share).sum(axis=1, keepdims=True)).mean(axis=0)
+        return share
+
+    full = em(np.full(log_p.shape[1], 1 / log_p.shape[1]), language.ROUNDS)
+    fits = [(like - like.max(axis=1, keepdims=True)).sum(axis=0).max()]
+    for k in range(2, len(full) + 1):
+        start = np.where(np.isin(np.arange(len(full)), np.argsort(-full, kind="stable")[:k]), full + 1e-3, 0)
+        share = em(start / start.sum(), language.SET_ROUNDS)
+        fits.append(np.log((chance * share).sum(axis=1)).sum() - language.PENALTY * (k - 1) * np.log(len(chance) + 1))
+    return int(np.argmax(fits)) + 1
