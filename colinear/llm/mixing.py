@@ -75,9 +75,15 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, seed: st
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies by id: the columns that OP8_SQL compares."""
     return replicate(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
 
 
+def op8_mixing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed training documents: every copy with all columns of its document, texts shuffled along."""
+    return replicate(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = f"""
 WITH RECURSIVE mass AS (
   SELECT coalesce(source, chr(0)) AS s, cast(sum(length(text)) AS double) AS chars FROM documents GROUP BY 1 HAVING sum(length(text)) > 0),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op7_decontamination
 from .language import op10_language
 from .media import op2_media
-from .mixing import OP8_SQL, op8_mixing
+from .mixing import OP8_SQL, op8_mixing, op8_mixing_rows
 from .near import op6_near
 from .pii import op1_pii
 from .quality import op9_quality
@@ -17,7 +17,7 @@ from .repeats import op4_repeats
 from .secrets import op3_secrets
 from .tokens import op5_tokens
 
-ALL = (op1_pii, op2_media, op3_secrets, op4_repeats, op5_tokens, op6_near, op7_decontamination, op8_mixing, op9_quality, op10_language)
+ALL = (op1_pii, op2_media, op3_secrets, op4_repeats, op5_tokens, op6_near, op7_decontamination, op8_mixing, op8_mixing_rows, op9_quality, op10_language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -118,6 +118,20 @@ def test_mixing_counts_follow_rates(spark):
     assert mixing.replicate(d.where("false")).count() == 0
 
 
+def test_mixing_query_of_whole_rows(spark, tmp_path):
+    """A registered query gives the documents themselves, each as often as the query of ids says."""
+    from colinear.llm.queries import queries
+
+    d = spark.range(300).selectExpr("id AS doc_id", "repeat(concat('text ', id, ' '), 1 + id % 5) AS text", "'en' AS lang", "IF(id % 4 = 0, 'small', 'big') AS source", "id * 3 AS n_chars")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries()["op8_mixing_rows"](spark, str(tmp_path))
+    assert rows.columns == [*d.columns, "copy", "mix_key"]
+    rows, ids = rows.collect(), queries()["op8_mixing"](spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.source, r.copy, r.mix_key) for r in rows] == [tuple(r) for r in ids] and len(rows) > 200
+    own = {r.doc_id: tuple(r) for r in d.collect()}
+    assert all(tuple(r)[:5] == own[r.doc_id] for r in rows)
+
+
 def test_quality_separates_noise():
     posterior = quality.posteriors({"+0+++++": 900, "-0+-+++": 50, "-----+-": 50})
     assert posterior["+0+++++"] > 0.9 and posterior["-----+-"] < 0.1
