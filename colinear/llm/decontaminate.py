@@ -6,8 +6,8 @@ words. Every test suffix is found in it by binary search; the range of equal suf
 occurrences, which are merged into maximal runs (the longest matches) with their word positions.
 
 The benchmark is read in blocks of at most BLOCK_BYTES of text, whose number is computed first; one block is held by a
-task at a time. Items without an id or without words are ignored. Null or empty documents have no words; repeated rows
-give one result row each; without items nothing is hit.
+task at a time. Items without words are ignored; one without an id hits like any other but is in no list of items. Null
+or empty documents have no words; repeated rows give one result row each; without items nothing is hit.
 """
 
 from __future__ import annotations
@@ -38,13 +38,13 @@ def words(text: bytes) -> list[bytes]:
 class Block:
     """The test suffixes of some items: windows of ten words, or a shorter item as one window."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], width: int = WINDOW) -> None:
         self.width, self.ids = width, {}
         found: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for item, text in items:
             row = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text.encode())]
             for i in range(max(1, len(row) - width + 1) if row else 0):
-                found[tuple(row[i : i + width])].add(item)
+                found[tuple(row[i : i + width])].update([] if item is None else [item])
         self.windows = sorted(found)
         self.owners = [sorted(found[w]) for w in self.windows]
         self.lengths = np.array([len(w) for w in self.windows], np.int64)
@@ -127,11 +127,11 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list:
     """The items, each block broadcast by itself. Its bytes are counted before anything is collected."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna().distinct()
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).dropna(subset=["text"]).distinct()
+    size = items.agg(F.sum(F.octet_length("text") + F.coalesce(F.octet_length("item"), F.lit(0)))).first()[0] or 0
     n = max(1, -(-2 * size // BLOCK_BYTES))
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()]) for k in range(n)]
+    return [sc.broadcast([tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]) for k in range(n)]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -111,6 +111,17 @@ def test_decontamination(spark, docs):
     assert {r.doc_id for r in decontaminate.remove(docs, bench).collect()} == {5, 6, 8}
 
 
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 40])
+def test_decontamination_by_items_without_id(spark, monkeypatch, block_bytes):
+    """They count as hits and remove documents, but are in no list of items, in one block or in many."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    bench = spark.createDataFrame([(None, LONG[:60]), (None, "only this"), (None, None), (4, "only that"), (4, LONG[:60] + "more")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x " + LONG[:60]), (2, "Only THIS"), (3, "only that, only this"), (4, "other")], "doc_id long, text string")
+    got = {r.doc_id: (sum(x["end"] - x["start"] for x in r.runs), r.items) for r in decontaminate.matches(d, bench).collect()}
+    assert got == {1: (11, ["4"]), 2: (2, []), 3: (4, ["4"]), 4: (0, [])}
+    assert [r.doc_id for r in decontaminate.remove(d, bench).collect()] == [4]
+
+
 def test_mixing_counts_follow_rates(spark):
     d = spark.range(4000).selectExpr("id AS doc_id", "'some text' AS text", "IF(id % 4 = 0, 'small', 'big') AS source")
     n = {r.source: r["count"] for r in mixing.replicate(d, {"small": 1.0, "big": 1.0}).groupBy("source").count().collect()}
