@@ -3,7 +3,8 @@
 Words of documents become numbers of the benchmark's vocabulary (0: a word that no item has). A shard's suffix array
 holds the suffixes that can begin a match (enough known words in a row, a known first pair), sorted by their first ten
 words. Every test suffix is found in it by binary search; the range of equal suffixes gives all its verbatim
-occurrences, which are merged into maximal runs (the longest matches) with their word positions.
+occurrences, which are merged into maximal runs of hit words with their positions; a run may join windows of several
+items, so it is not always a match within one item.
 
 The benchmark is read in blocks of at most BLOCK_BYTES of text, whose number is computed first; one block is held by a
 task at a time. Items without words are ignored; one without an id hits like any other but is in no list of items. Null
