@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secret_scan), ("mix", mix)]
-ORACLE_SQL = None  # no SQL for sketches and learnt models; tests hold every stage against a plain version
+ORACLE_SQL = None  # no SQL for sketches and learnt models; tests/llm/test_pipeline.py holds all rows of every stage against plain versions
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
