@@ -20,7 +20,7 @@ def made():
     vocabulary = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[k * 5 : k * 5 + 9]) for _ in range(6)) for _ in range(400)] for k in range(4)]
     prose = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
     rows = [(i, prose(i % 4, 120), f"l{i % 4}", "hot" if i % 10 else f"s{i % 3}") for i in range(60)]
-    for i, parts in enumerate(([240, 120, 120, 120], [150] * 4, [400, 100, 100, 0], [300, 90, 90, 90])):
+    for i, parts in enumerate(([240, 120, 120, 120], [150] * 4, [400, 100, 100, 0], [300, 90, 90, 90], [270, 110, 110, 110])):
         rows.append((100 + i, " ".join(prose(k, n) for k, n in enumerate(parts)), None, "hot"))
     for g in range(3):
         words = prose(g, 120).split()
