@@ -76,10 +76,3 @@ def vignette(text: Column, offset: Column, flank: int = 5) -> Column:
         F.lit(" ->"), F.substring(plain, (offset + 1).cast("int"), F.lit(1)), F.lit("<- "), after,
         F.when(offset + 1 + flank < F.length(plain), "...").otherwise(""),
     )
-
-
-def human_size(n: Column) -> Column:
-    out = F.format_string("%d Bytes", n)
-    for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
-        out = F.when(n > 1024**k, F.format_string(f"%.2f {unit}", n / 1024**k)).otherwise(out)
-    return out

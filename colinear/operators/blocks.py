@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..sources.maf import cells
+from ..sources.shared import stored
+
 
 def block():  # noqa: ANN201
     """A window over each block. It is made when asked for: making one needs a session."""
@@ -51,10 +53,24 @@ def order_by_gaps(lines: DataFrame) -> DataFrame:
 
 
 def sort_blocks(rows: DataFrame, prefix: str) -> DataFrame:
-    """(block_id, key, place): blocks without the target first, then by the target's largest left coordinate."""
+    """(block_id, key, place): blocks without the target first, in their own order, then by the target's largest left coordinate.
+
+    Blocks are range-partitioned by their key; a place is the number of rows in the partitions before and in its own.
+    """
     left = X.pos_left(F.col("start"), F.col("length"), F.col("strand"), F.col("source_length"))
     key = rows.groupBy("block_id").agg(F.max(F.when(F.col("name").startswith(prefix), left)).alias("key"))
-    return key.orderBy(F.col("key").asc_nulls_first(), "block_id")
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    sorted_ = stored(key.orderBy(F.col("key").asc_nulls_first(), "block_id").select("block_id", "key", F.spark_partition_id().alias("part"), within.alias("at")))
+    sizes = sorted_.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    return sorted_.join(F.broadcast(offset), "part").select("block_id", "key", (F.col("offset") + F.col("at")).alias("place"))
+
+
+def sorted_lines(lines: DataFrame, prefix: str) -> DataFrame:
+    """All lines with the ``place`` of their block in the order of ``sort_blocks``, as ``maf.write(..., order="place")`` takes them."""
+    rows = lines.withColumn("name", F.when(F.col("type") == "s", F.col("name")))
+    return lines.join(sort_blocks(rows, prefix).select("block_id", "place"), "block_id")
 
 
 def flip(rows: DataFrame, when: Column) -> DataFrame:
@@ -80,7 +96,8 @@ def find_position(rows: DataFrame, name: str, pos: int) -> DataFrame:
     left = X.pos_left(F.col("start"), F.col("length"), F.col("strand"), F.col("source_length"))
     offset = F.when(F.col("strand") == "+", pos - left).otherwise(left + F.col("length") - 1 - pos)
     hit = rows.where((F.col("name") == name) & (left <= pos) & (left + F.col("length") - 1 >= pos))
-    return hit.select("block_id", "row_idx", "name", "start", "length", "strand", "source_length", X.vignette(F.col("text"), offset).alias("vignette"))
+    where = [c for c in ("path", "line_no") if c in rows.columns]
+    return hit.select(*where, "block_id", "row_idx", "name", "start", "length", "strand", "source_length", X.vignette(F.col("text"), offset).alias("vignette"))
 
 
 def overlaps(start: int, stop: int) -> Column:
@@ -112,7 +129,35 @@ def extract(rows: DataFrame, name: str, start: int, stop: int) -> DataFrame:
     return cut.where(whole | (X.bases(F.col("piece")) > 0)).select("block_id", "splice", "row_idx", "name", (F.col("start") + before).alias("start"), X.bases(F.col("piece")).cast("long").alias("length"), "strand", "source_length", F.col("piece").alias("text"), whole.alias("whole"))
 
 
-# Which bases (A 1, C 2, G 4, T 8) a consensus code stands for.
+def extract_lines(lines: DataFrame, name: str, start: int, stop: int, tag: str = "spliced=true") -> DataFrame:
+    """(block_id, splice, line_idx, type, raw) of the blocks cut as by ``extract``.
+
+    A run that is its entire block keeps the block's lines. Any other has an a line of its own, with ``tag`` and the
+    block's and the run's number, its rows cut, and lines of other types as they are.
+    """
+    is_s = F.col("type") == "s"
+    body = lines.where("block_id > 0")
+    s = body.where(is_s).withColumn("row_idx", F.row_number().over(block().orderBy("line_idx")).cast("long") - 1)
+    cut = extract(s.select("block_id", "row_idx", "name", "start", "length", "strand", "source_length", "text"), name, start, stop)
+    runs = cut.select("block_id", "splice", "whole").distinct()
+    line = F.format_string("s %s %d %d %s %d %s", "name", "start", "length", "strand", "source_length", "text")
+    rows = cut.select("block_id", "splice", "row_idx", "whole", line.alias("cut")).join(s.select("block_id", "row_idx", "line_idx", "raw"), ["block_id", "row_idx"])
+    rows = rows.select("block_id", "splice", "line_idx", F.lit("s").alias("type"), F.when(F.col("whole"), F.col("raw")).otherwise(F.col("cut")).alias("raw"))
+    head = F.concat(F.lit(f"a score=0 {tag} splice_id="), F.col("block_id").cast("string"), F.lit("_"), F.col("splice").cast("string"))
+    others = body.where(~is_s).join(runs, "block_id").select("block_id", "splice", "line_idx", "type", F.when((F.col("type") == "a") & ~F.col("whole"), head).otherwise(F.col("raw")).alias("raw"))
+    return rows.unionByName(others)
+
+
+def ordered_lines(lines: DataFrame, names: list[str]) -> DataFrame:
+    """(block_id, line_idx, type, raw): the rows of ``order_rows`` under an a line of their own; all other lines go."""
+    s = lines.where("type = 's'").withColumn("row_idx", F.col("line_idx"))
+    rows = order_rows(s, names).select("block_id", (F.col("place") + 1).alias("line_idx"), F.lit("s").alias("type"), "raw")
+    head = rows.select("block_id").distinct().select("block_id", F.lit(0).cast("long").alias("line_idx"), F.lit("a").alias("type"), F.lit("a ordered=true").alias("raw"))
+    return head.unionByName(rows)
+
+
+# Bits of a code, and which bases (A 1, C 2, G 4, T 8) each stands for.
+BITS_OF_THREE = 0.41503749927884  # what a code of three bases tells
 CODE_OF = ("N", "A", "C", "M", "G", "R", "S", "V", "T", "W", "Y", "H", "K", "D", "B", "N")
 
 
@@ -144,7 +189,7 @@ def duplicate_scores(rows: DataFrame) -> DataFrame:
             score = F.when((F.col("code") == CODE_OF[m]) & F.col("base").isin(*bases_), 1.0).otherwise(score)
         elif len(bases_) == 3:
             out = next(c for c in "ACGT" if c not in bases_)
-            score = F.when((F.col("code") == CODE_OF[m]) & (F.col("base") != out), 0.41503749927884).otherwise(score)
+            score = F.when((F.col("code") == CODE_OF[m]) & (F.col("base") != out), BITS_OF_THREE).otherwise(score)
     return each.hint("merge").join(consensus(touched), ["block_id", "col"]).groupBy("block_id", "row_idx", "species").agg(F.sum(score).alias("score"))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..sources.maf import cells
-from .coverage import in_intervals
+from .coverage import in_intervals, pair_count
 
 PAIR = ["seq1", "pos1", "seq2", "pos2"]
+REGIONS = ("both", "A", "B", "neither")
 
 
 def legit_names(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -18,21 +20,63 @@ def legit_names(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.select(F.when(F.col("la") != F.col("lb"), F.raise_error(F.concat(F.lit("different source lengths: "), "name")).cast("string")).otherwise(F.col("name")).alias("name"))
 
 
+def _ordered(both: DataFrame) -> DataFrame:
+    """Distinct pairs of the positions p1 and p2, the smaller (name, position) first."""
+    low, high = F.least("p1", "p2"), F.greatest("p1", "p2")
+    return both.select(low["name"].alias("seq1"), low["pos"].alias("pos1"), high["name"].alias("seq2"), high["pos"].alias("pos2")).distinct()
+
+
 def pairs(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Distinct aligned pairs (seq1, pos1, seq2, pos2), the smaller (name, position) first."""
     c = cells(rows.join(names, "name", "left_semi"))
     one, two = (c.select("block_id", "col", F.col("row_idx").alias(f"r{k}"), F.struct("name", "pos").alias(f"p{k}")) for k in (1, 2))
-    both = one.hint("merge").join(two, ["block_id", "col"]).where("r1 < r2")
-    low, high = F.least("p1", "p2"), F.greatest("p1", "p2")
-    return both.select(low["name"].alias("seq1"), low["pos"].alias("pos1"), high["name"].alias("seq2"), high["pos"].alias("pos2")).distinct()
+    return _ordered(one.hint("merge").join(two, ["block_id", "col"]).where("r1 < r2"))
+
+
+def unranked(rank: Column) -> tuple[Column, Column]:
+    """The pair i < j that has this rank among the pairs (0, 1), (0, 2), (1, 2), (0, 3) and so on."""
+    near = F.floor((1 + F.sqrt(8 * rank.cast("double") + 1)) / 2).cast("long")
+    below = lambda j: F.expr("1") * j * (j - 1) / 2
+    j = F.when(below(near) > rank, near - 1).when(below(near + 1) <= rank, near + 1).otherwise(near)
+    return (rank - (j * (j - 1) / 2).cast("long")).cast("long"), j
+
+
+def sampled_pairs(rows: DataFrame, names: DataFrame, samples: int, seed: int = 0) -> DataFrame:
+    """About ``samples`` of the aligned pairs, as ``pairs`` gives them; all if there are no more. No other pair is made.
 
+    Pairs of a column are numbered and drawn with equal chance: the gaps between drawn numbers are geometric, each from a
+    hash of the seed, the column and its number, so any run draws the same pairs. Pairs are counted first, by masks.
+    """
+    total = pair_count(rows, names).first()[0]
+    if total <= samples:
+        return pairs(rows, names)
+    chance = samples / total
+    c = cells(rows.join(names, "name", "left_semi"))
+    column = Window.partitionBy("block_id", "col").orderBy("row_idx")
+    ranked = c.select("block_id", "col", F.row_number().over(column).cast("long").alias("r") - 1, F.struct("name", "pos").alias("p"))
+    ranked = ranked.toDF("block_id", "col", "r", "p")
+    k = c.groupBy("block_id", "col").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("block_id", "col", F.expr("k * (k - 1) div 2").alias("m"))
+    # More gaps than a column can hold but for one chance in 1e16; they are added up until they leave it.
+    most = F.ceil(F.col("m") * chance + 12 * F.sqrt(F.col("m") * chance) + 20).cast("int")
+    uniform = lambda t: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "block_id", "col", t), 11).cast("double") + 0.5) / float(1 << 53)
+    gap = lambda t: F.floor(F.log(uniform(t)) / F.lit(_log_rest(chance))).cast("long")
+    start = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("drawn"))
+
+    def step(acc: Column, t: Column) -> Column:
+        at = acc["at"] + 1 + F.least(gap(t), F.col("m"))
+        return F.when(acc["at"] >= F.col("m"), acc).otherwise(F.struct(at.alias("at"), F.when(at < F.col("m"), F.concat(acc["drawn"], F.array(at))).otherwise(acc["drawn"]).alias("drawn")))
+
+    drawn = k.select("block_id", "col", F.explode(F.aggregate(F.sequence(F.lit(1), most), start, step)["drawn"]).alias("rank"))
+    i, j = unranked(F.col("rank"))
+    chosen = drawn.select("block_id", "col", i.alias("i"), j.alias("j"))
+    one, two = (ranked.select("block_id", "col", F.col("r").alias(x), F.col("p").alias(p)) for x, p in (("i", "p1"), ("j", "p2")))
+    return _ordered(chosen.join(one, ["block_id", "col", "i"]).join(two, ["block_id", "col", "j"]))
+
+
+def _log_rest(chance: float) -> float:
+    import math
 
-def sample(p: DataFrame, samples: int | None, seed: int = 0) -> DataFrame:
-    """Each pair with probability samples / pairs, by a hash of the pair: any run draws the same ones."""
-    if samples is None:
-        return p
-    n = p.count()
-    return p if n <= samples else p.where(F.pmod(F.xxhash64(F.lit(seed), *PAIR), F.lit(1 << 40)) < int(samples / n * (1 << 40)))
+    return math.log1p(-chance)
 
 
 def found(a: DataFrame, b: DataFrame, near: int = 0) -> DataFrame:
@@ -75,33 +119,92 @@ def rollup(t: DataFrame) -> DataFrame:
     return every.unionByName(own).unionByName(names)
 
 
-def wiggles(p: DataFrame, reference: str, partner: str, start: int, length: int, width: int) -> DataFrame:
-    """(bin, present, absent): pairs of reference and partner by the reference's place, whether the other alignment has them."""
-    side = lambda x, y: p.where((F.col(f"seq{x}") == reference) & (F.col(f"seq{y}") == partner)).select(F.col(f"pos{x}").alias("pos"), "hit")
-    both = side(1, 2) if reference == partner else side(1, 2).union(side(2, 1))
-    hits = both.where((F.col("pos") >= start) & (F.col("pos") < start + length)).groupBy(F.floor((F.col("pos") - start) / width).cast("long").alias("bin")).agg(F.sum(F.col("hit").cast("long")).alias("present"), F.sum((~F.col("hit")).cast("long")).alias("absent"))
-    grid = p.sparkSession.range(-(-length // width)).withColumnRenamed("id", "bin")
-    return grid.join(hits, "bin", "left").na.fill(0, ["present", "absent"])
+def wiggle_pairs(lengths: DataFrame, patterns: list[tuple[str, str]], start: int = 0, stop: int = 0) -> DataFrame:
+    """(reference, partner, start, length) of every two names that match both patterns of a pair, from (name, source_length).
+
+    Names meet by the number of the pair whose pattern they match. Without a stop the region is the whole reference.
+    """
+    side = lambda k: F.explode(F.filter(F.array(*[F.when(X.wildcard(F.col("name"), p[k]), F.lit(i)) for i, p in enumerate(patterns)]), lambda x: x.isNotNull())).alias("pair")
+    length = F.lit(1 + stop - start).cast("long") if stop else F.col("source_length")
+    one, two = lengths.select(F.col("name").alias("reference"), length.alias("length"), side(0)), lengths.select(F.col("name").alias("partner"), side(1))
+    return one.join(two, "pair").select("reference", "partner", F.lit(start).cast("long").alias("start"), "length").distinct()
+
+
+def wiggles(ab: DataFrame, ba: DataFrame, regions_: DataFrame, width: int) -> DataFrame:
+    """(reference, partner, bin, present_ab, absent_ab, present_ba, absent_ba) for every bin of the pairs of ``wiggle_pairs``.
+
+    ab: tested pairs of the first alignment with ``hit``, ba: those of the second. A pair is counted at the place of its
+    reference; where both orders of its names are wanted, at that of its first name.
+    """
+    want = F.broadcast(regions_)
+    own = regions_.select(F.col("reference").alias("seq1"), F.col("partner").alias("seq2"), F.lit(1).alias("first")).distinct()
+    parts = []
+    for direction, tested in (("ab", ab), ("ba", ba)):
+        known = tested.join(F.broadcast(own), ["seq1", "seq2"], "left")
+        as_first = known.where("first = 1").select(F.col("seq1").alias("reference"), F.col("seq2").alias("partner"), F.col("pos1").alias("pos"), "hit")
+        as_second = known.where("first IS NULL").select(F.col("seq2").alias("reference"), F.col("seq1").alias("partner"), F.col("pos2").alias("pos"), "hit")
+        inside = as_first.unionByName(as_second).join(want, ["reference", "partner"]).where("pos >= start AND pos < start + length")
+        parts.append(inside.select("reference", "partner", F.floor((F.col("pos") - F.col("start")) / width).cast("long").alias("bin"), *[F.lit(int(d == direction)).alias(d) for d in ("ab", "ba")], F.col("hit").cast("long").alias("hit")))
+    counts = [F.sum(F.col(d) * (F.col("hit") if kind == "present" else 1 - F.col("hit"))).cast("long").alias(f"{kind}_{d}") for d in ("ab", "ba") for kind in ("present", "absent")]
+    hits = parts[0].unionByName(parts[1]).groupBy("reference", "partner", "bin").agg(*counts)
+    grid = regions_.select("reference", "partner", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("length") / width).cast("long") - 1)).alias("bin"))
+    return grid.join(hits, ["reference", "partner", "bin"], "left").na.fill(0)
+
+
+def tested(a: DataFrame, b: DataFrame, near: int = 0, samples: int | None = None, seed: int = 0, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs of a with ``hit`` in b, and those of b in a."""
+    names = legit_names(a, b) if names is None else names
+    all_ = [pairs(x, names) for x in (a, b)]
+    some = all_ if samples is None else [sampled_pairs(x, names, samples, seed) for x in (a, b)]
+    return found(some[0], all_[1], near), found(some[1], all_[0], near)
 
 
 def compare(a: DataFrame, b: DataFrame, near: int = 0, samples: int | None = None, intervals: DataFrame | None = None, seed: int = 0, names: DataFrame | None = None) -> DataFrame:
     """Totals for both directions (``direction``: AB pairs of a tested in b, BA the reverse), roll-ups included."""
-    names = legit_names(a, b) if names is None else names
-    pa_, pb = pairs(a, names), pairs(b, names)
     out = []
-    for direction, x, y in (("AB", pa_, pb), ("BA", pb, pa_)):
-        tested = found(sample(x, samples, seed), y, near)
-        t = totals(regions(tested, intervals) if intervals is not None else tested)
+    for direction, x in zip(("AB", "BA"), tested(a, b, near, samples, seed, names), strict=True):
+        t = totals(regions(x, intervals) if intervals is not None else x)
         out.append(t.unionByName(rollup(t)).withColumn("direction", F.lit(direction)))
     return out[0].unionByName(out[1])
 
 
-def xml(result: DataFrame, **attributes: object) -> str:
-    """Report of a comparison; its rows are aggregates, one for each pair of names."""
+# The report's elements.
+TESTS = ("homologyTests", "aggregateResults", "homologyPairTests", "homologyTest", "singleHomologyTests", "singleHomologyTest")
+WIGGLES = {"present_ab": "presentMaf1ToMaf2", "present_ba": "presentMaf2ToMaf1", "absent_ab": "absentMaf1ToMaf2", "absent_ba": "absentMaf2ToMaf1"}
+
+
+def xml(result: DataFrame, files: tuple[str, str] = ("a", "b"), bins: DataFrame | None = None, regions_: DataFrame | None = None, width: int = 1, **attributes: object) -> str:
+    """Report of a comparison: for each direction its aggregate, then every pair of names, nested; then the wiggles.
+
+    Its rows are aggregates, one for each pair of names (and one for each wiggle), read one after the other.
+    """
     from xml.sax.saxutils import quoteattr
 
-    head = " ".join(f"{k}={quoteattr(str(v))}" for k, v in attributes.items())
-    out = [f"<alignmentComparisons {head}>".replace(" >", ">")]
-    for r in result.orderBy("direction", "seq1", "seq2").toLocalIterator():
-        out.append("  <homologyTest " + " ".join(f"{k}={quoteattr(str(v))}" for k, v in r.asDict().items()) + f' average="{r["hits"] / r["total"] if r["total"] else 0}"/>')
-    return "\n".join([*out, "</alignmentComparisons>"])
+    tests, aggregates, pair_tests, test, singles, single = TESTS
+    given = lambda **a: "".join(f" {k}={quoteattr(str(v))}" for k, v in a.items())
+    out = [f"<alignmentComparisons{given(**attributes)}>"]
+    tags = [("all", "total", "hits"), *((r, f"total_{r}", f"hits_{r}") for r in REGIONS if f"total_{r}" in result.columns)]
+
+    def counts(r, depth: int) -> list[str]:  # noqa: ANN001
+        lines = []
+        for tag, total, hits in tags:
+            n, true = r[total] or 0, r[hits] or 0
+            lines.append("\t" * (depth + 1) + f"<{tag}" + given(totalTests=n, totalTrue=true, totalFalse=n - true, average=f"{true / n if n else 0:f}") + "/>")
+        return ["\t" * depth + f"<{aggregates}>", *lines, "\t" * depth + f"</{aggregates}>"]
+
+    for direction, (one, two) in zip(("AB", "BA"), (files, files[::-1]), strict=True):
+        own = result.where(F.col("direction") == direction)
+        whole = own.where("seq1 = 'aggregate' AND seq2 = 'aggregate'").first()
+        out += [f"\t<{tests}{given(fileA=one, fileB=two)}>", *counts(whole, 2), f"\t\t<{pair_tests}>"]
+        for r in own.orderBy(F.desc("seq1"), F.desc("seq2")).toLocalIterator():
+            names = given(sequenceA=r["seq1"], sequenceB=r["seq2"])
+            out += [f"\t\t\t<{test}{names}>", *counts(r, 4), f"\t\t\t\t<{singles}>", f"\t\t\t\t\t<{single}{names}>", *counts(r, 6)]
+            out += [f"\t\t\t\t\t</{single}>", f"\t\t\t\t</{singles}>", f"\t\t\t</{test}>"]
+        out += [f"\t\t</{pair_tests}>", f"\t</{tests}>"]
+    out.append("\t<wigglePairs>")
+    if bins is not None:
+        listed = bins.groupBy("reference", "partner").agg(F.array_sort(F.collect_list(F.struct("bin", *WIGGLES))).alias("bins"))
+        for r in listed.join(regions_, ["reference", "partner"]).orderBy("reference", "partner").toLocalIterator():
+            head = given(reference=r["reference"], partner=r["partner"], referenceStart=r["start"], referenceLength=r["length"], numberOfBins=len(r["bins"]), binLength=width)
+            out += [f"\t\t<wigglePair{head}>", *[f"\t\t\t<{tag}>" + ",".join(str(b[c]) for b in r["bins"]) + f"</{tag}>" for c, tag in WIGGLES.items()], "\t\t</wigglePair>"]
+    return "\n".join([*out, "\t</wigglePairs>", "</alignmentComparisons>"])

@@ -13,6 +13,7 @@ from ..functions import exprs as X
 from ..sources.maf import cells
 
 CHUNK = 62
+LARGE = 64  # rows of a block from which columns are counted by name instead of pairing rows
 
 
 def bits(chunk: Column) -> Column:
@@ -21,9 +22,9 @@ def bits(chunk: Column) -> Column:
 
 
 def masks(rows: DataFrame, *keep: str) -> DataFrame:
-    """(block_id, row_idx, keep..., chunk, mask) for each 62 columns of each row."""
+    """(block_id, row_idx, keep..., chunk, mask) for each 62 columns of each row; the last chunk is filled with gaps."""
     parts = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CHUNK).cast("int")), lambda i: F.substring(F.col("text"), i * CHUNK + 1, F.lit(CHUNK))))
-    return rows.where(F.length("text") > 0).select("block_id", "row_idx", *keep, parts.alias("chunk", "piece")).select("block_id", "row_idx", *keep, "chunk", bits(F.col("piece")).alias("mask"))
+    return rows.where(F.length("text") > 0).select("block_id", "row_idx", *keep, parts.alias("chunk", "piece")).select("block_id", "row_idx", *keep, "chunk", bits(F.rpad("piece", CHUNK, "-")).alias("mask"))
 
 
 def file_stats(lines: DataFrame) -> DataFrame:
@@ -49,12 +50,32 @@ def bases_per_sequence(rows: DataFrame) -> DataFrame:
     return each.withColumn("share", F.col("bases") / F.sum("bases").over(Window.partitionBy(F.lit(0)))).orderBy(F.desc("bases"), "name")
 
 
+def _sizes(rows: DataFrame) -> DataFrame:
+    """(block_id) of the blocks with over LARGE rows."""
+    return rows.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("block_id")
+
+
+def column_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """(block_id, col, keys..., n): how many bases each column has for each value of the keys. Partially aggregated."""
+    return cells(rows).groupBy("block_id", "col", *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def aligned_pairs(rows: DataFrame, seq1: str, seq2: str) -> DataFrame:
-    """(name1, name2, aligned): columns where both rows have a base, over all pairs of rows of a block. A row can pair itself."""
-    one = masks(rows.where(X.wildcard(F.col("name"), seq1)), "name").select("block_id", "chunk", F.col("name").alias("name1"), F.col("mask").alias("m1"))
-    two = masks(rows.where(X.wildcard(F.col("name"), seq2)), "name").select("block_id", "chunk", F.col("name").alias("name2"), F.col("mask").alias("m2"))
-    both = F.expr("bit_count(m1 & m2)")
-    return one.hint("merge").join(two, ["block_id", "chunk"]).groupBy("name1", "name2").agg(F.sum(both).cast("long").alias("aligned"))
+    """(name1, name2, aligned): columns where both rows have a base, over all pairs of rows of a block. A row can pair itself.
+
+    Rows of a block of LARGE rows at most are paired by masks. In a larger block the bases of a column are first counted
+    by name, and counts are paired, so the cost follows its names and not the square of its rows.
+    """
+    own = rows.where(X.wildcard(F.col("name"), seq1) | X.wildcard(F.col("name"), seq2))
+    large = _sizes(own)
+    small, crowded = own.join(large, "block_id", "left_anti"), own.join(large, "block_id", "left_semi")
+    bits_ = masks(small, "name")
+    one, two = (bits_.where(X.wildcard(F.col("name"), p)).select("block_id", "chunk", F.col("name").alias(f"name{k}"), F.col("mask").alias(f"m{k}")) for k, p in ((1, seq1), (2, seq2)))
+    paired = one.hint("merge").join(two, ["block_id", "chunk"]).select("name1", "name2", F.expr("bit_count(m1 & m2)").cast("long").alias("n"))
+    counts = column_counts(crowded, "name")
+    one, two = (counts.where(X.wildcard(F.col("name"), p)).select("block_id", "col", F.col("name").alias(f"name{k}"), F.col("n").alias(f"n{k}")) for k, p in ((1, seq1), (2, seq2)))
+    counted = one.hint("merge").join(two, ["block_id", "col"]).select("name1", "name2", (F.col("n1") * F.col("n2")).alias("n"))
+    return paired.unionByName(counted).groupBy("name1", "name2").agg(F.sum("n").cast("long").alias("aligned"))
 
 
 def pair_coverage(rows: DataFrame, seq1: str, seq2: str) -> DataFrame:
@@ -71,11 +92,11 @@ def pair_coverage(rows: DataFrame, seq1: str, seq2: str) -> DataFrame:
     return out
 
 
-def aligned_cells(rows: DataFrame, seq1: str, seq2: str) -> DataFrame:
-    """(name1, pos1, name2, pos2) of every aligned column of every pair of rows."""
+def aligned_places(rows: DataFrame, seq1: str, seq2: str) -> DataFrame:
+    """(name1, pos1, name2, n): how many bases of rows of seq2 are aligned with each base of seq1's rows, by name."""
     one = cells(rows.where(X.wildcard(F.col("name"), seq1))).select("block_id", "col", F.col("name").alias("name1"), F.col("pos").alias("pos1"))
-    two = cells(rows.where(X.wildcard(F.col("name"), seq2))).select("block_id", "col", F.col("name").alias("name2"), F.col("pos").alias("pos2"))
-    return one.hint("merge").join(two, ["block_id", "col"]).select("name1", "pos1", "name2", "pos2")
+    two = column_counts(rows.where(X.wildcard(F.col("name"), seq2)), "name").withColumnRenamed("name", "name2")
+    return one.hint("merge").join(two, ["block_id", "col"]).select("name1", "pos1", "name2", "n")
 
 
 def pair_bins(rows: DataFrame, seq1: str, seq2: str, start: int, end: int, width: int = 1000) -> DataFrame:
@@ -83,7 +104,7 @@ def pair_bins(rows: DataFrame, seq1: str, seq2: str, start: int, end: int, width
     if seq1.endswith("*"):
         raise ValueError("seq1 must be one sequence")
     n = -(-(end + 1 - start) // width)
-    hits = aligned_cells(rows, seq1, seq2).where(F.col("pos1").between(start, end)).groupBy(F.floor((F.col("pos1") - start) / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    hits = aligned_places(rows, seq1, seq2).where(F.col("pos1").between(start, end)).groupBy(F.floor((F.col("pos1") - start) / width).cast("long").alias("bin")).agg(F.sum("n").alias("n"))
     grid = rows.sparkSession.range(n).withColumnRenamed("id", "bin")
     return grid.join(hits, "bin", "left").select("bin", (F.col("bin") * width + start).alias("bin_start"), (F.coalesce("n", F.lit(0)) / F.lit(float(width))).alias("value"))
 
@@ -96,11 +117,15 @@ def in_intervals(points: DataFrame, intervals: DataFrame, name: str = "name", po
 
 
 def pair_regions(rows: DataFrame, seq1: str, seq2: str, intervals: DataFrame) -> DataFrame:
-    """(name1, in_region, out_region): aligned columns whose place in seq1 lies in its intervals, or not."""
-    pairs = aligned_cells(rows, seq1, seq2).groupBy("name1", "pos1").agg(F.count(F.lit(1)).alias("n"))
-    inside = in_intervals(pairs, intervals, "name1", "pos1").select("name1", "pos1", F.lit(1).alias("hit"))
-    both = pairs.join(inside, ["name1", "pos1"], "left")
-    return both.groupBy("name1").agg(F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).cast("long").alias("in_region"), F.sum(F.when(F.col("hit").isNull(), F.col("n")).otherwise(0)).cast("long").alias("out_region"))
+    """(side, name, in_region, out_region): aligned columns whose place in a name of that side lies in its intervals, or not."""
+    out = None
+    for side, (own, other) in enumerate(((seq1, seq2), (seq2, seq1)), 1):
+        places = aligned_places(rows, own, other).groupBy("name1", "pos1").agg(F.sum("n").alias("n"))
+        inside = in_intervals(places, intervals, "name1", "pos1").groupBy("name1").agg(F.sum("n").alias("in_region"))
+        both = places.groupBy("name1").agg(F.sum("n").alias("n")).join(inside, "name1", "left").select(F.lit(side).alias("side"), F.col("name1").alias("name"), F.coalesce("in_region", F.lit(0)).cast("long").alias("in_region"), "n")
+        part = both.select("side", "name", "in_region", (F.col("n") - F.col("in_region")).cast("long").alias("out_region"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def genome_lengths(rows: DataFrame, by_species: bool = True) -> DataFrame:
@@ -111,24 +136,31 @@ def genome_lengths(rows: DataFrame, by_species: bool = True) -> DataFrame:
 def coverage(rows: DataFrame, n_max: int = 1, identity: bool = False, by_species: bool = True) -> DataFrame:
     """(query, target, n, coverage): the share of the query genome's places with n or more aligned target bases.
 
-    Every genome is a query at once. Depths are counted by place before anything is joined to lengths and stop at 127.
+    Every genome is a query at once. The bases of a column are counted by genome (and base) before they meet the query's
+    cells, so a column of k rows costs k times its genomes; a row is taken off its own genome's count. Depths are counted
+    by place before anything is joined to lengths and stop at 127.
     """
     genome = X.species(F.col("name")) if by_species else F.col("name")
-    c = cells(rows).withColumn("genome", genome)
-    q = c.select("block_id", "col", F.col("row_idx").alias("rq"), F.col("genome").alias("query"), F.col("name").alias("qname"), F.col("pos").alias("qpos"), F.upper("base").alias("qbase"))
-    t = c.select("block_id", "col", F.col("row_idx").alias("rt"), F.col("genome").alias("target"), F.upper("base").alias("tbase"))
-    same = F.col("rq") != F.col("rt")
-    if identity:
-        same = same & (F.col("qbase") == F.col("tbase")) & (F.col("qbase") != "N")
-    depth = q.hint("merge").join(t, ["block_id", "col"]).where(same).groupBy("query", "target", "qname", "qpos").agg(F.least(F.count(F.lit(1)), F.lit(127)).alias("depth"))
+    c = cells(rows).withColumns({"genome": genome, "base": F.upper("base")})
+    by = ["block_id", "col", "base"] if identity else ["block_id", "col"]
+    c = c.where("base <> 'N'") if identity else c
+    q = c.select(*by, F.col("genome").alias("query"), F.col("name").alias("qname"), F.col("pos").alias("qpos"))
+    t = c.groupBy(*by, F.col("genome").alias("target")).agg(F.count(F.lit(1)).alias("n"))
+    others = F.col("n") - (F.col("query") == F.col("target")).cast("long")
+    met = q.hint("merge").join(t, by).select("query", "target", "qname", "qpos", others.alias("n")).where("n > 0")
+    depth = met.groupBy("query", "target", "qname", "qpos").agg(F.least(F.sum("n"), F.lit(127)).alias("depth"))
     levels = depth.select("query", "target", F.explode(F.sequence(F.lit(1).cast("long"), F.least("depth", F.lit(n_max)))).alias("n")).groupBy("query", "target", "n").agg(F.count(F.lit(1)).alias("places"))
     lengths = genome_lengths(rows, by_species)
     return levels.join(lengths.withColumnRenamed("genome", "query"), "query").select("query", "target", F.col("n").cast("long").alias("n"), (F.col("places").cast("double") / F.col("total")).alias("coverage"))
 
 
 def pair_count(rows: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """One row: pairs of bases over all columns, of the given names if any. A sum over columns of k(k-1)/2."""
+    """One row: pairs of bases over all columns, of the given names if any. A sum over columns of k(k-1)/2.
+
+    The bases of CHUNK columns are added up at once, a counter for each column, as sums of bits of the rows' masks.
+    """
     own = rows if names is None else rows.join(names.select("name").distinct(), "name", "left_semi")
-    each = own.select("block_id", F.posexplode(F.split("text", "")).alias("col", "base")).where("base <> '-' AND base <> ''")
-    k = each.groupBy("block_id", "col").agg(F.count(F.lit(1)).alias("k"))
-    return k.agg(F.coalesce(F.sum(F.expr("k * (k - 1) div 2")), F.lit(0)).cast("long").alias("pairs"))
+    bit = lambda i: F.sum(F.shiftright("mask", CHUNK - 1 - i).bitwiseAND(F.lit(1).cast("long")))
+    counts = masks(own).groupBy("block_id", "chunk").agg(*[bit(i).alias(f"k{i}") for i in range(CHUNK)])
+    pairs = sum((F.expr(f"k{i} * (k{i} - 1) div 2") for i in range(CHUNK)), F.lit(0))
+    return counts.agg(F.coalesce(F.sum(pairs), F.lit(0)).cast("long").alias("pairs"))

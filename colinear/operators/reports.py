@@ -90,13 +90,13 @@ def pair_coverage(result: DataFrame, seq1: str, seq2: str) -> DataFrame:
 
 
 def bed(result: DataFrame, intervals: DataFrame, seq1: str) -> DataFrame:
-    """Of ``coverage.pair_regions``: the total of the pattern, then each name with intervals."""
-    size = intervals.groupBy(F.col("name").alias("name1")).agg(F.sum(F.col("stop") - F.col("start")).alias("size"))
-    known = result.join(size, "name1", "left")
+    """Of the first side of ``coverage.pair_regions``: the total of the pattern, then each name with intervals."""
+    size = intervals.groupBy("name").agg(F.sum(F.col("stop") - F.col("start")).alias("size"))
+    known = result.where("side = 1").join(size, "name", "left")
     sums = known.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "in_region", "out_region")])
     row = lambda name: F.format_string(BED_ROW, name, "size", "in_region", "out_region", _ratio(F.col("in_region"), F.col("size")))
     head = BED_HEAD % ("Sequence", "Region Length", "In Regions", "Out of Regions", "Coverage")
-    each = known.where("size IS NOT NULL").select(F.row_number().over(Window.orderBy("name1")).alias("place"), row(F.col("name1")).alias("value"))
+    each = known.where("size IS NOT NULL").select(F.row_number().over(Window.orderBy("name")).alias("place"), row(F.col("name")).alias("value"))
     return _stack(_rows(F.array(F.lit(""), F.lit("# BED Regions"), F.lit(head), row(F.lit(seq1))), sums), each)
 
 

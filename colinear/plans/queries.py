@@ -69,7 +69,7 @@ def gap_order(spark, d):
 
 @query(f"SELECT block_id, max(CASE WHEN name LIKE 'sp0%' THEN {LEFT} END) AS key FROM a GROUP BY block_id")
 def block_sort(spark, d):
-    return blocks.sort_blocks(alignment(spark, d), "sp0")
+    return blocks.sort_blocks(alignment(spark, d), "sp0").select("block_id", "key")
 
 
 @query(f"""SELECT block_id, row_idx, name, CASE WHEN f THEN source_length - (start + length) ELSE start END AS start, CASE WHEN f THEN CASE WHEN strand = '+' THEN '-' ELSE '+' END ELSE strand END AS strand, CASE WHEN f THEN {FLIPPED} ELSE text END AS text
@@ -176,8 +176,12 @@ def _bed(spark):
 IN_BED = "(({p} - s * 10) % 150 < 60 AND {p} >= s * 10 AND s * 10 + ({p} - s * 10) // 150 * 150 < 1900)"
 
 
-@query(f"""SELECT name AS name1, cast(sum(CASE WHEN i THEN 1 ELSE 0 END) AS bigint) AS in_region, cast(sum(CASE WHEN i THEN 0 ELSE 1 END) AS bigint) AS out_region FROM (
-SELECT x.name, {IN_BED.format(p='x.pos')} AS i FROM (SELECT *, cast(substr(name, 3, 1) AS bigint) AS s FROM ca) AS x JOIN ca AS y ON x.block_id = y.block_id AND x.col = y.col WHERE x.name LIKE 'sp1.%' AND y.name LIKE 'sp2.%') AS z GROUP BY name""")
+def _in_bed(side, own, other):
+    return f"""SELECT {side} AS side, name, cast(sum(CASE WHEN i THEN 1 ELSE 0 END) AS bigint) AS in_region, cast(sum(CASE WHEN i THEN 0 ELSE 1 END) AS bigint) AS out_region FROM (
+SELECT x.name, {IN_BED.format(p='x.pos')} AS i FROM (SELECT *, cast(substr(name, 3, 1) AS bigint) AS s FROM ca) AS x JOIN ca AS y ON x.block_id = y.block_id AND x.col = y.col WHERE x.name LIKE '{own}%' AND y.name LIKE '{other}%') AS z GROUP BY name"""
+
+
+@query(_in_bed(1, "sp1.", "sp2.") + " UNION ALL " + _in_bed(2, "sp2.", "sp1."))
 def pair_coverage_bed(spark, d):
     return coverage.pair_regions(alignment(spark, d), "sp1.*", "sp2.*", _bed(spark))
 
@@ -251,10 +255,28 @@ def homology_rollup(spark, d):
     return compare.rollup(compare.totals(_two(spark, d)))
 
 
-@query(TWO + EXACT + """SELECT g AS bin, cast(coalesce(present, 0) AS bigint) AS present, cast(coalesce(absent, 0) AS bigint) AS absent FROM range(20) AS r(g) LEFT JOIN (SELECT (pos - 0) // 100 AS bin, sum(hit::int) AS present, sum((NOT hit)::int) AS absent FROM
-(SELECT pos1 AS pos, hit FROM h WHERE seq1 = 'sp1.chr1' AND seq2 = 'sp2.chr0' UNION ALL SELECT pos2, hit FROM h WHERE seq2 = 'sp1.chr1' AND seq1 = 'sp2.chr0') AS w WHERE pos >= 0 AND pos < 2000 GROUP BY 1) AS x ON g = bin""", shared=False)
+def _bins(tests: str, d: str) -> str:
+    """Bins of 100 of each test's place in its reference, for references sp1.chr1 and sp0.* and partners sp2.* and sp3.chr0."""
+    wanted = "((r = 'sp1.chr1' AND p LIKE 'sp2.%') OR (r LIKE 'sp0.%' AND p = 'sp3.chr0'))"
+    return f"SELECT r, p, pos // 100 AS bin, sum(hit::int) AS present_{d}, sum((NOT hit)::int) AS absent_{d} FROM (SELECT seq1 AS r, seq2 AS p, pos1 AS pos, hit FROM {tests} UNION ALL SELECT seq2, seq1, pos2, hit FROM {tests} WHERE seq1 <> seq2) AS w WHERE {wanted} GROUP BY 1, 2, 3"
+
+
+BACK = EXACT.rstrip() + ", k AS (SELECT q.*, p.seq1 IS NOT NULL AS hit FROM q LEFT JOIN p ON p.seq1 = q.seq1 AND p.pos1 = q.pos1 AND p.seq2 = q.seq2 AND p.pos2 = q.pos2)\n"
+
+
+@query(TWO + BACK + f"""SELECT g.r AS reference, g.p AS partner, g.bin, {', '.join(f'cast(coalesce({c}, 0) AS bigint) AS {c}' for c in ('present_ab', 'absent_ab', 'present_ba', 'absent_ba'))}
+FROM (SELECT x.name AS r, y.name AS p, b AS bin FROM (SELECT DISTINCT name FROM a) AS x, (SELECT DISTINCT name FROM a) AS y, range(20) AS z(b) WHERE (x.name = 'sp1.chr1' AND y.name LIKE 'sp2.%') OR (x.name LIKE 'sp0.%' AND y.name = 'sp3.chr0')) AS g
+LEFT JOIN ({_bins('h', 'ab')}) AS m ON g.r = m.r AND g.p = m.p AND g.bin = m.bin LEFT JOIN ({_bins('k', 'ba')}) AS n ON g.r = n.r AND g.p = n.p AND g.bin = n.bin""", shared=False)
 def wiggle_bins(spark, d):
-    return compare.wiggles(_two(spark, d), "sp1.chr1", "sp2.chr0", 0, 2000, 100)
+    a, b = alignment(spark, d), alignment(spark, d, B)
+    wanted = compare.wiggle_pairs(a.select("name", "source_length").distinct(), [("sp1.chr1", "sp2.*"), ("sp0.*", "sp3.chr0")])
+    return compare.wiggles(*compare.tested(a, b), wanted, 100)
+
+
+@query(TWO + BACK + f"SELECT 'AB' AS direction, seq1, seq2, {COUNTS} FROM h GROUP BY 2, 3 UNION ALL SELECT 'BA', seq1, seq2, {COUNTS} FROM k GROUP BY 2, 3", shared=False)
+def homology_both_ways(spark, d):
+    x = compare.compare(alignment(spark, d), alignment(spark, d, B))
+    return x.where("seq2 <> 'aggregate' AND seq1 <> 'self'").select("direction", "seq1", "seq2", "total", "hits")
 
 
 @query("SELECT DISTINCT name FROM a WHERE name IN (SELECT name FROM b WHERE block_id % 2 = 0 AND name NOT LIKE 'sp4%')")

@@ -95,11 +95,15 @@ def rows(lines: DataFrame) -> DataFrame:
 
 
 def cells(aligned: DataFrame) -> DataFrame:
-    """(block_id, row_idx, col, base, name, pos) of every base; pos is on the + strand."""
-    at = F.posexplode(F.split("text", ""))
-    seen = X.bases(F.substring("text", 1, F.col("col") + 1))
-    pos = X.pos_start(F.col("start"), F.col("strand"), F.col("source_length")) + X.sign(F.col("strand")) * (seen - 1)
-    return aligned.select("*", at.alias("col", "base")).where("base <> '-' AND base <> ''").select("block_id", "row_idx", F.col("col").cast("long").alias("col"), "base", "name", "strand", pos.cast("long").alias("pos"))
+    """(block_id, row_idx, col, base, name, pos) of every base; pos is on the + strand.
+
+    The bases of a text are listed with their columns; a base's index in the list is the number of bases before it, so
+    the cost grows with the text, however long.
+    """
+    listed = F.filter(F.transform(F.split("text", ""), lambda c, i: F.struct(i.alias("col"), c.alias("base"))), lambda x: (x["base"] != "-") & (x["base"] != ""))
+    pos = X.pos_start(F.col("start"), F.col("strand"), F.col("source_length")) + X.sign(F.col("strand")) * F.col("seen")
+    each = aligned.select("block_id", "row_idx", "name", "start", "strand", "source_length", F.posexplode(listed).alias("seen", "cell"))
+    return each.select("block_id", "row_idx", F.col("cell.col").cast("long").alias("col"), F.col("cell.base").alias("base"), "name", "strand", pos.cast("long").alias("pos"))
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -111,12 +115,18 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
-    """(name, seq); the name is the first word after the angle."""
-    files = spark.read.text(list(paths), wholetext=True)
-    record = files.select(F.explode(F.slice(F.split(F.concat(F.lit("\n"), "value"), "\n>"), 2, 1 << 30)).alias("r"))
-    head = F.substring_index("r", "\n", 1)
-    body = F.substring(F.col("r"), F.length(head) + 1, F.length("r"))
-    return record.select(F.split(F.trim(head), r"\s+")[0].alias("name"), F.regexp_replace(body, r"\s", "").alias("seq"))
+    """(name, seq); the name is the first word after the angle. Files are read by byte ranges; a range's records are numbered from the heads before it."""
+    text = spark.read.option("lineSep", "\n").text(list(paths))
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\s+$", "").alias("value"))
+    head = F.col("value").startswith(">")
+    told = lines.withColumn("seen", F.sum(head.cast("long")).over(Window.partitionBy("path", "part").orderBy("at")))
+    before = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = told.groupBy("path", "part").agg(F.max("seen").alias("n")).select("path", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    record = told.join(offset, ["path", "part"]).withColumn("record", F.col("offset") + F.col("seen")).where("record > 0")
+    bases = F.when(~head, F.struct("part", "at", F.regexp_replace("value", r"\s", "").alias("b")))
+    whole = record.groupBy("path", "record").agg(F.max(F.when(head, F.col("value"))).alias("head"), F.array_sort(F.collect_list(bases)).alias("parts"))
+    name = F.split(F.trim(F.substring(F.col("head"), 2, 1 << 30)), r"\s+")[0]
+    return whole.select(name.alias("name"), F.array_join(F.transform("parts", lambda x: x["b"]), "").alias("seq"))
 
 
 def fasta_text(seqs: DataFrame, width: int = 50) -> DataFrame:
@@ -137,12 +147,22 @@ def pretty(lines: DataFrame) -> DataFrame:
     return lines.withColumns({f"w_{c}": w for c, w in wide.items()}).withColumn("raw", F.when(F.col("type") == "s", line).otherwise(F.col("raw"))).drop(*[f"w_{c}" for c in wide])
 
 
-def blocks_text(lines: DataFrame) -> DataFrame:
-    """(block_id, value): each block's lines, then a blank line, as they are written to a file in the order of block_id."""
+def append_to_a(lines: DataFrame, text: Column) -> DataFrame:
+    """The lines with a text added to each a line, such as `` key=value``."""
+    return lines.withColumn("raw", F.when(F.col("type") == "a", F.concat("raw", text)).otherwise(F.col("raw")))
+
+
+def blocks_text(lines: DataFrame, order: str = "block_id") -> DataFrame:
+    """(path, block_id, value): each block's lines, then a blank line, as they are written to a file. Without ``path`` there is one file.
+
+    ``order`` is the column whose order the blocks are written in; it is returned too.
+    """
+    keys = list(dict.fromkeys(c for c in ("path", order, "block_id") if c in lines.columns))
     listed = F.array_sort(F.collect_list(F.struct("line_idx", "raw")))
-    return lines.groupBy("block_id").agg(F.concat(F.array_join(F.transform(listed, lambda x: x["raw"]), "\n"), F.lit("\n")).alias("value"))
+    return lines.groupBy(*keys).agg(F.concat(F.array_join(F.transform(listed, lambda x: x["raw"]), "\n"), F.lit("\n")).alias("value"))
 
 
-def write(lines: DataFrame, path: str) -> None:
-    """Part files whose order by name is the order of the blocks."""
-    blocks_text(lines).orderBy("block_id").select("value").write.text(path)
+def write(lines: DataFrame, path: str, order: str = "block_id") -> None:
+    """Part files whose order by name is the order of the files and their blocks."""
+    text = blocks_text(lines, order)
+    text.orderBy(*[c for c in text.columns if c != "value"]).select("value").write.text(path)

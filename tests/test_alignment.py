@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions import exprs as X
 from colinear.operators import blocks, closure, compare, coverage, stitch, validate
+from colinear.plans import texts  # noqa: F401
 from colinear.plans.queries import ORACLES, QUERIES
 from colinear.sources import maf
 
@@ -146,7 +147,7 @@ def test_vignette(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "events"):
+    for t in ("lineitem", "events", "part"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     rel = con.sql(ORACLES[name])
