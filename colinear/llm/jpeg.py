@@ -336,7 +336,7 @@ def _decode_group(raw: np.ndarray, images: list[tuple[Image, int]]) -> list[np.n
                 pos[active] = p
     out = []
     for (x, _), first, n, end in zip(images, lanes_of, n_mcu, [*lanes_of[1:], len(pos)], strict=True):
-        dc_values = values[first:end].reshape(-1)[: n * per]
+        dc_values = values[first:end, : (x.interval or n) * per].reshape(-1)[: n * per]
         quant = x.quant_dc[x.components[x.scan[luma[0]][0]][3]]
         samples = np.clip((dc_values * quant + 1024 + 4) >> 3, 0, 255).astype(np.uint8)
         wide, high = x.mcus()
