@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, stitch, validate
+from ..operators import blocks, coverage, reports, stitch, validate
 from ..sources import maf
 from ..sources.shared import shared_folder
 from .queries import LEFT, ORACLES, WITH, query
@@ -174,3 +174,39 @@ def stitch_text(spark, d):
 
 
 ORACLES["stitch_text"] = f"WITH a AS ({A}), one AS ({ONE.format(rows='a')})" + ORACLES["stitch_text"][len(WITH):]
+
+
+@query("SELECT query, target, n, round(cast(count(*) AS double) / max(total), 9) AS coverage FROM (SELECT x.name AS query, y.name AS target, x.pos, least(count(*), 127) AS depth FROM ca AS x JOIN ca AS y ON x.block_id = y.block_id AND x.col = y.col AND x.row_idx <> y.row_idx GROUP BY 1, 2, 3) AS dd JOIN range(1, 3) AS r(n) ON n <= depth JOIN (SELECT name AS g, max(source_length) AS total FROM a GROUP BY 1) AS t ON g = query GROUP BY 1, 2, 3")
+def sequence_coverage(spark, d):
+    return coverage.coverage(alignment(spark, d), n_max=2, by_species=False).withColumn("coverage", F.round("coverage", 9))
+
+
+@query("""SELECT block_id, row_idx, species, kind, cast(CASE WHEN kind IN ('reference', 'interstitial') THEN start - r - 1 WHEN kind = 'none' THEN 0 ELSE 6 END AS bigint) AS width FROM (
+SELECT *, CASE WHEN name = 'sp1.chr1' THEN CASE WHEN start > r + 1 THEN 'reference' ELSE 'none' END WHEN ps <> strand THEN 'strand' WHEN pn <> name THEN 'name' WHEN r + 20 < start THEN 'distance' WHEN start > r + 1 THEN 'interstitial' ELSE 'none' END AS kind FROM (
+ SELECT *, lag(strand) OVER w AS ps, lag(name) OVER w AS pn, lag(start + length - 1) OVER w AS r FROM (SELECT *, split_part(name, '.', 1) AS species FROM a) AS s WINDOW w AS (PARTITION BY species ORDER BY block_id, row_idx)) AS x WHERE pn IS NOT NULL) AS y""")
+def stitch_events_reference(spark, d):
+    return stitch.events(alignment(spark, d), 6, 20, "sp1.chr1").select("block_id", "row_idx", "species", "kind", "width")
+
+
+@query("""SELECT 1 + row_number() OVER (ORDER BY query, target) AS place, concat_ws(chr(9), query, target, cast(total AS varchar), printf('%f', c1), printf('%f', c2)) AS value FROM (
+SELECT query, target, max(total) AS total, sum(CASE WHEN depth >= 1 THEN 1 ELSE 0 END) / cast(max(total) AS double) AS c1, sum(CASE WHEN depth >= 2 THEN 1 ELSE 0 END) / cast(max(total) AS double) AS c2
+FROM (SELECT split_part(x.name, '.', 1) AS query, split_part(y.name, '.', 1) AS target, x.name, x.pos, least(count(*), 127) AS depth FROM ca AS x JOIN ca AS y ON x.block_id = y.block_id AND x.col = y.col AND x.row_idx <> y.row_idx GROUP BY 1, 2, 3, 4) AS dd
+JOIN (SELECT split_part(name, '.', 1) AS g, sum(source_length) AS total FROM (SELECT DISTINCT name, source_length FROM a) AS q GROUP BY 1) AS t ON g = query GROUP BY 1, 2) AS y""")
+def report_coverage(spark, d):
+    """The rows of the report below its head."""
+    rows = alignment(spark, d)
+    return reports.coverage(coverage.coverage(rows, n_max=2), coverage.genome_lengths(rows), 2).where("place > 1")
+
+
+@query("""SELECT 3 + row_number() OVER (ORDER BY g) AS place, printf('%22d' || chr(9) || '%12e', cast(g * 100 + 50 AS bigint), coalesce(n, 0) / cast(100 AS double)) AS value FROM range(12) AS r(g) LEFT JOIN
+(SELECT (x.pos - 50) // 100 AS bin, count(*) AS n FROM ca AS x JOIN ca AS y ON x.block_id = y.block_id AND x.col = y.col WHERE x.name = 'sp1.chr1' AND y.name LIKE 'sp2.%' AND x.pos BETWEEN 50 AND 1249 GROUP BY 1) AS h ON g = bin""")
+def report_bins(spark, d):
+    """The rows of the report below its head of three lines."""
+    return reports.bins(coverage.pair_bins(alignment(spark, d), "sp1.chr1", "sp2.*", 50, 1249, 100)).where("place > 3")
+
+
+@query("""SELECT o_orderkey, CASE WHEN n <= 1024 THEN printf('%d Bytes', n) WHEN n <= 1048576 THEN printf('%.2f KB', n / 1024.0::double) WHEN n <= 1073741824 THEN printf('%.2f MB', n / 1048576.0::double) WHEN n <= 1099511627776 THEN printf('%.2f GB', n / 1073741824.0::double) ELSE printf('%.2f TB', n / 1099511627776.0::double) END AS size
+FROM (SELECT o_orderkey, cast(pow(2, o_orderkey % 45) AS bigint) + o_orderkey % 3 AS n FROM orders) AS x""", shared=False)
+def human_sizes(spark, d):
+    n = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr("cast(pow(2, o_orderkey % 45) AS bigint) + o_orderkey % 3").alias("n"))
+    return n.select("o_orderkey", reports.human_size(F.col("n")).alias("size"))

@@ -147,7 +147,7 @@ def test_vignette(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "events", "part"):
+    for t in ("lineitem", "events", "part", "orders"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     rel = con.sql(ORACLES[name])
