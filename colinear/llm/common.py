@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,7 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch, shared_folder, stored
+
+__all__ = ["Rolling", "bytes_of", "components", "id_and_text", "kind_count", "mapped", "mix64", "scratch", "shared_folder", "slices", "span_digest", "spread_join", "stored", "table"]
+
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20  # of an Arrow batch on its way to Python; Spark's own default is sixteen times as much
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +41,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def mapped(df: DataFrame, run, schema) -> DataFrame:  # noqa: ANN001
+    """``df.mapInArrow``, for whose batches the session's limit is lowered to BATCH_BYTES unless it is lower already.
+
+    An executor holds a batch or two for each task in Java, outside its heap, and another in each Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def bytes_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -103,36 +119,46 @@ class Rolling:
         return mix64((prefix[width:] - prefix[:n]) * self.down[:n])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of its own only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
+HEAVY = 1_000
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    return sc.getCheckpointDir()
 
+def spread_join(rows: DataFrame, table_: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows left-joined with the table's values by keys, so that no key's rows are the work of one task.
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and lost executors cost no recomputation beyond it."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    ``weight`` is how many rows have the table row's key, ``total`` at least their sum. Keys of more than total / HEAVY
+    rows, fewer than HEAVY of them whatever the input, are broadcast; their rows are spread over all tasks of the join
+    that finds the others.
+    """
+    values = [c for c in table_.columns if c not in (*keys, weight)]
+    light, heavy = table_.where(F.col(weight) * HEAVY <= total), table_.where(F.col(weight) * HEAVY > total)
+    known = F.broadcast(heavy.select(*keys, F.struct(*values).alias("_heavy")))
+    salt = F.when(F.col("_heavy").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 20))).cast("long")
+    marked = rows.join(known, keys, "left").withColumn("_salt", salt)
+    # The salt of the others is no literal, which Catalyst would take out of the keys that rows are dealt by.
+    plain = F.when(F.col(weight) * HEAVY <= total, 0).otherwise(1).cast("long")
+    found = marked.join(light.select(*keys, plain.alias("_salt"), F.struct(*values).alias("_light")), [*keys, "_salt"], "left")
+    return found.select(*rows.columns, *[F.coalesce(F.col("_heavy")[c], F.col("_light")[c]).alias(c) for c in values])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): the smallest vertex that each vertex of the undirected edges (a, b) can reach.
 
     Every round takes the smallest label among a vertex and its neighbours, then that label's own label (pointer
-    jumping); each round is stored. Nothing but the number of changes reaches the driver.
+    jumping); each round is stored. Hubs of stars and labels that many vertices have are found by counts and their rows
+    spread. Nothing but the number of changes and of rows reaches the driver.
     """
     both = stored(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")))
+    n_edges, n_vertices = both.count(), labels.count()
+    degree = both.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
+    hubs = stored(degree.where(F.col("degree") * HEAVY > n_edges))
     while True:
-        near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next"))
-        step = stored(least.join(jump, "label", "left").select("v", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        own = labels.select(F.col("v").alias("b"), "label").join(F.broadcast(hubs), "b", "left").select("b", "label", F.coalesce("degree", F.lit(0)).alias("degree"))
+        near = spread_join(both, own, ["b"], "degree", n_edges).groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
+        least = stored(labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        crowd = stored(least.groupBy("label").agg(F.count(F.lit(1)).alias("crowd")).where(F.col("crowd") * HEAVY > n_vertices))
+        jump = labels.select(F.col("v").alias("label"), F.col("label").alias("next")).join(F.broadcast(crowd), "label", "left").select("label", "next", F.coalesce("crowd", F.lit(0)).alias("crowd"))
+        step = stored(spread_join(least, jump, ["label"], "crowd", n_vertices).select("v", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         changed = step.where("old <> label").limit(1).count()
         labels = step.select("v", "label")
         if not changed:

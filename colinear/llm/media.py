@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import jpeg
-from .common import bytes_of, id_and_text, slices, table
+from .common import bytes_of, id_and_text, mapped, slices, table
 
 SLICE = 1 << 20
 STORED = "doc_id long, n_bytes long, media binary"
@@ -38,7 +38,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             media = jpeg.encode([padded(x) for x in data])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, data), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, STORED)
+    return mapped(id_and_text(docs, id_col, text_col), run, STORED)
 
 
 def describe(stored: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def describe(stored: DataFrame) -> DataFrame:
             columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", "media_bytes", "media_sha256", "width", "height", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, READ)
+    return mapped(stored.select("doc_id", "n_bytes", "media"), run, READ)
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:

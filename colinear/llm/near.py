@@ -9,11 +9,15 @@ probability (1 - 0.8**5)**40 = 1.3e-7, without any cap.
 Documents with equal sets collapse to their smallest id first. In each bucket all members are compared with the smallest
 one, as a star whose members are dealt over tasks; stars give components. Documents of buckets that still hold several
 components go to a second step, where pairs of different components must share a shingle of their rarest-first prefixes
-(no link can do without), and where a joint maximum-likelihood estimate of their similarity from the registers rules out
+(no link can do without; documents of the component that has the most of a shingle's look for no partners, so a large
+group costs its size times the documents outside it), and where a joint maximum-likelihood estimate of their similarity from the registers rules out
 those far below the threshold. Every link is confirmed on the full sets of both texts.
 
 Null or empty text, or text without words, has an empty set and is linked with nothing. Rows without an id get no
-component and are kept. Repeated rows give one result row each.
+component and are kept. Repeated rows give one result row each; of rows with one id and different texts that
+whose text has the smallest hash is linked, and the others get its component.
+A very long text is one set, sketched and verified as a whole. An empty table gives an empty result; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, bytes_of, stored, components, id_and_text, mix64, slices, table
+from .common import Rolling, bytes_of, components, id_and_text, mapped, mix64, scratch, slices, spread_join, stored, table
 
 REGISTERS, BAND = 200, 5
 KEPT = 128  # registers kept for the joint estimate
 SCALE, RATE = 1.001, 20.0
-STAR = 256  # members of a star in one task
+STAR, STAR_PARTS = 256, 10_000  # members of a star in one task, and the most parts that its centre is sent to
+SLICE = 1 << 18  # bytes of text worked on at once
 MARGIN = 0.25  # below the threshold, about seven standard errors of the estimate
 FILTER_WORDS = 1 << 18  # words of 64 bits in the filter of ids, about 10 MB as a broadcast table
 
@@ -101,7 +106,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, text, n (set size), two sums that identify the set, the bands' keys and the registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=SLICE):
             value, begin = shingles(bytes_of(batch.column(1)), width)
             n = np.diff(begin)
             full = np.flatnonzero(n)
@@ -118,19 +123,20 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     bands[d], registers[d] = keys[i].view(np.int64), k[i, :KEPT].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(registers, pa.binary())], ["doc_id", "n", "one", "two", "bands", "registers"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, one long, two long, bands array<long>, registers binary")
+    return mapped(docs, run, "doc_id long, n long, one long, two long, bands array<long>, registers binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. Each star around a is dealt in parts of about STAR members."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR)).cast("int").alias("parts"))
-    member = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc_id"), F.lit(1).alias("role"))
+    counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("members"))
+    parts = counted.select("a", "members", F.least(F.ceil(F.col("members") / STAR), F.lit(STAR_PARTS)).cast("int").alias("parts"))
+    member = spread_join(pairs, parts, ["a"], "members", pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc_id"), F.lit(1).alias("role"))
     centre = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"), F.lit(0).alias("role"))
     rows = member.unionByName(centre).join(texts, "doc_id").select("a", "part", "role", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, own = None, np.zeros(0, np.uint64)
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=SLICE):
             value, begin = shingles(bytes_of(batch.column(4)), width)
             a, part, role, doc = (batch.column(k).to_pylist() for k in range(4))
             linked = []
@@ -144,7 +150,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                         linked.append((a[i], doc[i]))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").mapInArrow(run, "a long, b long")
+    return mapped(rows.repartition("a", "part").sortWithinPartitions("a", "part", "role"), run, "a long, b long")
 
 
 def _prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -156,25 +162,28 @@ def _prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=SLICE):
             value, begin = shingles(bytes_of(batch.column(1)), width)
             n = np.diff(begin)
             row = np.repeat(np.arange(len(n)), n)
             ids, label = (batch.column(k).to_numpy()[row] for k in (0, 2))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (value.view(np.int64), ids, label, n[row].astype(np.int64))], ["shingle", "doc_id", "label", "n"])
 
-    sets = docs.mapInArrow(run, "shingle long, doc_id long, label long, n long")
+    sets = mapped(docs, run, "shingle long, doc_id long, label long, n long")
     common = sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("low"), F.max("label").alias("high"))
     # Shingles of one document come first and are only counted: their number is what the set lacks among the others.
     own = Window.partitionBy("doc_id")
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "shingle"))
     prefix = sets.join(common.where("df > 1"), "shingle").withColumn("place", place).where(F.col("place") <= F.expr(f"n - ceil(n * {percent} / 100.0D) + 1")).where("low < high")
     prefix = stored(prefix.select("shingle", "doc_id", "label", "n", "place"))
-    left, right = (prefix.select("shingle", F.col("doc_id").alias(k), F.col("label").alias(f"label_{k}"), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"place_{k}")) for k in "ab")
+    # Documents of a shingle's largest component are no pairs among themselves: only the others look for partners.
+    sizes = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct(F.col("n").alias("k"), F.col("label").alias("largest"))).alias("m"))
+    seeking = prefix.join(sizes.select("shingle", "m.largest"), "shingle").where("label <> largest")
+    left, right = (x.select("shingle", F.col("doc_id").alias(k), F.col("label").alias(f"label_{k}"), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"place_{k}")) for k, x in (("a", seeking), ("b", prefix)))
     # At the first shared shingle, what is left of both sets bounds what they can share.
     most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
-    near = (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
-    return left.join(right, "shingle").where(near).select("a", "b").distinct()
+    near = (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("label_a") != F.col("label_b"))
+    return left.join(right, "shingle").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +196,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
             keep = similarity(a, b, n_a, n_b) >= percent / 100 - MARGIN if len(n_a) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return pairs.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
+    return mapped(pairs.select("a", "b", "n_a", "n_b", "r_a", "r_b"), run, "a long, b long")
 
 
 def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -204,15 +213,34 @@ def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: connected components of the links with Jaccard similarity >= percent / 100."""
-    own = id_and_text(docs, id_col, text_col)
+    """doc_id, n_shingles, component_id, kept: connected components of the links with Jaccard similarity >= percent / 100.
+
+    The result is stored; tables on the way to it are removed.
+    """
+    with scratch(docs.sparkSession):
+        return stored(_groups(id_and_text(docs, id_col, text_col), width, percent), keep=True)
+
+
+def _groups(own: DataFrame, width: int, percent: int) -> DataFrame:
+    # Of rows with one id and different texts, one is linked: that whose text has the smallest hash.
+    hashed = F.xxhash64("text")
+    several = stored(own.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(hashed).alias("linked"), F.max(hashed).alias("last")).where("linked <> last").select("doc_id", "linked"))
+    others = None
+    if several.limit(1).count():
+        told = own.join(several, "doc_id", "left").withColumn("out", F.coalesce(F.col("linked") != hashed, F.lit(False)))
+        own, others = told.where("NOT out").select("doc_id", "text"), told.where("out").select("doc_id", "text")
     sets = stored(_sets(own, width))
-    first = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"))
-    chosen = stored(sets.where("n > 0").join(first, ["one", "two", "n"]).select("doc_id", "rep").distinct())
+    total = sets.count()
+    named = sets.where("n > 0 AND doc_id IS NOT NULL")
+    # Sets that several documents have; any other represents itself.
+    first = named.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    chosen = spread_join(named.select("doc_id", "one", "two", "n"), first, ["one", "two", "n"], "copies", total)
+    chosen = stored(chosen.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct())
     reps = chosen.where("doc_id = rep").select("rep")
-    buckets = sets.where("n > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
-    pivots = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("band", "a")
-    shared = stored(buckets.join(pivots, "band").join(reps, "rep", "left_semi").select("band", "rep", "a").distinct())
+    buckets = named.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
+    pivots = buckets.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("size")).where("a < last").select("band", "a", "size")
+    joined = spread_join(buckets, pivots, ["band"], "size", total * (REGISTERS // BAND)).where("a IS NOT NULL")
+    shared = stored(joined.join(reps, "rep", "left_semi").select("band", "rep", "a").distinct())
     stars = stored(shared.where("a <> rep").select("a", F.col("rep").alias("b")).distinct())
     members = stored(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = stored(_among(own, members).dropDuplicates(["doc_id"]))
@@ -230,7 +258,8 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     if more.limit(1).count():
         label = components(links.union(more))
     named = chosen.join(label.select(F.col("v").alias("rep"), "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component_id")).distinct()
-    found = sets.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
+    rows = sets.select("doc_id", "n") if others is None else sets.select("doc_id", "n").unionByName(_sets(others, width).select("doc_id", "n"))
+    found = rows.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 

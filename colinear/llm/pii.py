@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, kind_count, slices, span_digest, table
+from .common import id_and_text, kind_count, mapped, slices, span_digest, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -121,7 +121,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([spans_of(t) for t in batch.column(1).to_pylist()], kind)], ["doc_id", "spans"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, f"doc_id long, spans {SPAN}")
+    return mapped(id_and_text(docs, id_col, text_col), run, f"doc_id long, spans {SPAN}")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

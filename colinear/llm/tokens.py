@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_and_text, slices, table
+from .common import id_and_text, mapped, slices, table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -117,7 +117,7 @@ def count(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counter.counts(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return mapped(id_and_text(docs, id_col, text_col), run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
