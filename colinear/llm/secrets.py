@@ -11,7 +11,10 @@ with the length of the parts. The sums are exact: parts on both sides of a candi
 
 Spans are code points, end exclusive, leftmost and non-overlapping within a kind. They are found by putting a mark
 around every match and adding up the lengths of what lies between the marks; U+0001, the mark, is read as U+0002, which
-no pattern holds either. Null or empty text has no spans; repeated rows give one result row each.
+no pattern holds either. Null or empty text has no spans; an empty table gives an empty result; repeated rows give one
+result row each, and rows without an id are told apart by their text. Spans that start together are ordered by kind. A
+very long text is one row's work, which grows with its length and its matches. Other columns are passed through a
+struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ ROLE = {"assign": "secret", "hex": "secret", "blob": "secret", "access": "identi
 NEEDS = {"keyid": ("secret",), "blob": ("identifier", "endpoint"), "endpoint": ("secret", "identifier")}
 SCOPE = 200
 MASK = "[secret]"
+CHUNK = 256  # items whose results are put together at once
+CUT = 32  # spans from which a text is masked by its characters, so that its beginning is not walked again for each
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -44,21 +49,46 @@ SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 LITERALS = {"assign": ("password", "passwd", "secret", "token", "api_key", "apikey"), "keyid": ("username", "client", "key"), "access": ("AKIA",), "endpoint": ("http",)}
 
 
+def _let(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value), with the value computed once for a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scanned(items: Column, state: Column, step, kind: str) -> Column:  # noqa: ANN001
+    """All that step(state, item) -> (state, array to append) appends, item after item, as an array of ``kind``.
+
+    An array that grows by one is copied each time. So items are taken in chunks of CHUNK, whose results are listed and
+    joined at the end: the cost grows with the number of items, and only its square over CHUNK squared.
+    """
+    none, lists = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, item: Column) -> Column:
+        after, more = step(acc["state"], item)
+        return F.struct(after.alias("state"), F.concat(acc["out"], more).alias("out"))
+
+    def chunk(acc: Column, k: Column) -> Column:
+        done = F.aggregate(F.slice(items, k * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return _let(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+    chunks = F.sequence(F.lit(0), F.ceil(F.size(items) / CHUNK).cast("int") - 1)
+    found = F.aggregate(chunks, F.struct(state.alias("state"), lists.alias("out")), chunk)["out"]
+    return F.when(F.size(items) > 0, F.flatten(found)).otherwise(none)
+
+
 def _found(text: Column, lower: Column, kind: str, pattern: str, holds) -> Column:  # noqa: ANN001
     """Spans of the pattern's matches for which holds(match) is true; texts without its literals are not searched."""
-    parts = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0001"), "\u0001", -1)
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("spans"))
     rank = KINDS.index(kind)
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
-        more = F.concat(F.coalesce(acc["spans"], F.array().cast(SPAN)), F.array(span))
-        taken = F.when((acc["i"] % 2 == 1) & holds(part), more).otherwise(acc["spans"])
-        return F.struct((acc["i"] + 1).alias("i"), end.alias("at"), taken.cast(SPAN).alias("spans"))
+    def step(state: Column, part: Column) -> tuple[Column, Column]:
+        end = state["at"] + F.length(part)
+        span = F.struct(state["at"].alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
+        taken = F.when(state["match"] & holds(part), F.array(span)).otherwise(F.array().cast(SPAN))
+        return F.struct(end.alias("at"), (~state["match"]).alias("match")), taken.cast(SPAN)
 
+    begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"))
+    marked = F.split(F.regexp_replace(text, pattern, "\u0001$0\u0001"), "\u0001", -1)
+    spans = _let(marked, lambda x: _scanned(x, begin, step, SPAN[6:-1]))
     none = F.array().cast(SPAN)
-    spans = F.coalesce(F.aggregate(parts, start, step)["spans"], none)
     likely = F.lit(kind not in LITERALS)
     for word in LITERALS.get(kind, ()):
         likely = likely | (lower if kind in ("assign", "keyid") else text).contains(word)
@@ -122,26 +152,35 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _masked(text: Column, spans: Column) -> Column:
     """The text with each maximal covered stretch replaced by MASK."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] < acc["at"]) & (acc["at"] > 0), acc["out"]).otherwise(piece).alias("out"))
+    def masked(chars: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            n = F.greatest(end - start, F.lit(0))
+            return F.when(chars.isNull(), F.substring(text, start + 1, n)).otherwise(F.array_join(F.slice(chars, start + 1, n), ""))
+
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            piece = F.when((s["start"] < at) & (at > 0), F.array().cast("array<string>")).otherwise(F.array(between(at, s["start"]), F.lit(MASK)))
+            return F.greatest(at, s["end"]), piece
 
-    done = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+        last = F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+        return F.concat(F.array_join(_scanned(spans, F.lit(0), step, "string"), ""), between(last, F.length(text)))
+
+    return F.when(F.size(spans) > 0, _let(F.when(F.size(spans) > CUT, F.split(text, "")), masked)).otherwise(text)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all their columns, with every reported secret masked. Only documents with candidates are joined."""
+    """The documents, all their columns, with every reported secret masked. Only documents with candidates are joined.
+
+    The rows are stored with their parts, which are so found once.
+    """
     columns = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    keyed = _with_parts(inner)
-    plain = keyed.where(~_linkable(F.col("parts"))).select("row", "text", _base(F.col("parts")).alias("spans"))
-    joined = keyed.where(_linkable(F.col("parts"))).join(_linked(keyed), ["id", "hash"], "left")
-    joined = joined.select("row", "text", F.array_sort(F.concat(_base(F.col("parts")), F.coalesce("linked", F.array().cast(SPAN)))).alias("spans"))
+    keyed = stored(_with_parts(inner).withColumn("linkable", _linkable(F.col("parts"))).drop("doc_id", "text"))
+    plain = keyed.where("NOT linkable").select("row", _base(F.col("parts")).alias("spans"))
+    joined = keyed.where("linkable").join(_linked(keyed.where("linkable")), ["id", "hash"], "left")
+    joined = joined.select("row", F.array_sort(F.concat(_base(F.col("parts")), F.coalesce("linked", F.array().cast(SPAN)))).alias("spans"))
     both = plain.unionByName(joined)
-    return both.select(*[_masked(F.col("text"), F.col("spans")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns])
+    return both.select(*[_masked(F.col("row")[c].cast("string"), F.col("spans")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns])
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
