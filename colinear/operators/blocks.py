@@ -163,8 +163,7 @@ CODE_OF = ("N", "A", "C", "M", "G", "R", "S", "V", "T", "W", "Y", "H", "K", "D",
 
 def consensus(rows: DataFrame) -> DataFrame:
     """(block_id, col, code): the bases most frequent below the first row; N if N leads, or all four, or none."""
-    upper = F.upper(F.substring("text", F.col("col") + 1, F.lit(1)))
-    each = rows.select("block_id", "row_idx", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("col")).select("block_id", "col", "row_idx", upper.alias("base"))
+    each = rows.select("block_id", "row_idx", F.posexplode(F.split(F.upper("text"), "")).alias("col", "base")).where("base <> ''")
     counts = each.groupBy("block_id", "col").agg(*[F.sum(((F.col("base") == b) & (F.col("row_idx") > 0)).cast("long")).alias(f"n_{b}") for b in "ACGTN"])
     most = F.greatest(*[F.col(f"n_{b}") for b in "ACGTN"])
     mask = sum((F.when(F.col(f"n_{b}") == most, 1 << i).otherwise(0) for i, b in enumerate("ACGT")), F.lit(0))
@@ -178,8 +177,7 @@ def duplicate_scores(rows: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("block_id", "species"))
     dup = own.withColumn("n", n).where("n > 1").select("block_id", "row_idx", "species", "text")
     touched = rows.join(dup.select("block_id").distinct(), "block_id", "left_semi")
-    base = F.upper(F.substring("text", F.col("col") + 1, F.lit(1)))
-    each = dup.select("*", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("col")).select("block_id", "row_idx", "species", F.col("col").cast("long").alias("col"), base.alias("base"))
+    each = dup.select("block_id", "row_idx", "species", F.posexplode(F.split(F.upper("text"), "")).alias("col", "base")).where("base <> ''").withColumn("col", F.col("col").cast("long"))
     held = [[c for i, c in enumerate("ACGT") if m >> i & 1] for m in range(16)]
     score = F.lit(0.0)
     for m, bases_ in enumerate(held):

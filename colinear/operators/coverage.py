@@ -6,7 +6,7 @@ instead of a join of cells. Positions are exploded only where bins, regions or d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -47,7 +47,8 @@ def file_stats(lines: DataFrame) -> DataFrame:
 def bases_per_sequence(rows: DataFrame) -> DataFrame:
     """(name, bases, share): sums of the length field, with the share of the total."""
     each = rows.groupBy("name").agg(F.sum("length").cast("long").alias("bases"))
-    return each.withColumn("share", F.col("bases") / F.sum("bases").over(Window.partitionBy(F.lit(0)))).orderBy(F.desc("bases"), "name")
+    total = F.broadcast(each.agg(F.sum("bases").alias("all_bases")))  # one row
+    return each.join(total).select("name", "bases", (F.col("bases") / F.col("all_bases")).alias("share")).orderBy(F.desc("bases"), "name")
 
 
 def _sizes(rows: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def parse_each(files: DataFrame) -> DataFrame:
     return _fields(each.selectExpr("path", "block_id", "x.i AS line_idx", "x.raw AS raw"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files are cut by byte ranges as any text source, so one file is read by many tasks; ranges are the parts that are numbered."""
     text = spark.read.option("lineSep", "\n").text(path)
     return _fields(_numbered(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))))

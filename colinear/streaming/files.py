@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..sources.maf import parse_each
+from ..sources.maf import parse_each, read_lines
 
 
 def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
@@ -33,6 +33,21 @@ def per_batch(lines: DataFrame, operator, sink):  # noqa: ANN001, ANN201
     return lines.writeStream.foreachBatch(lambda batch, n: sink(operator(batch), n))
 
 
+def per_file_batch(spark: SparkSession, folder: str, operator, sink, files_per_trigger: int = 64):  # noqa: ANN001, ANN201
+    """As ``per_batch`` for files of any size: the stream carries names, and each micro-batch reads its files by byte ranges.
+
+    Block numbers run through the files of one micro-batch.
+    """
+    names = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_per_trigger).load(folder).select("path")
+
+    def each(batch: DataFrame, n: int) -> None:
+        listed = [r.path for r in batch.collect()]  # files_per_trigger names at most
+        if listed:
+            sink(operator(read_lines(batch.sparkSession, listed)), n)
+
+    return names.writeStream.foreachBatch(each)
+
+
 def event_bins(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(shard, bin, n): events by shard of users and tumbling window; a window is given out once it cannot change."""
     window = F.window("ts", width)

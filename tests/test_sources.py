@@ -72,6 +72,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[-1] for r in seen} == {"5.maf"}
 
 
+def test_stream_of_names_equals_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, case in enumerate(CASES):
+        (tmp_path / "in" / f"{i}.maf").write_bytes(case.encode())
+    seen = []
+    query = files.per_file_batch(spark, str(tmp_path / "in"), lambda df: df, lambda df, n: seen.extend(df.collect()), 2).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = sorted((f"{i}.maf", k, raw) for i, case in enumerate(CASES) for _, k, raw in plain(case))
+    assert sorted((r.path.rsplit("/", 1)[-1], r.line_idx, r.raw) for r in seen) == want
+
+
+def test_event_bins_equal_batch(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    events.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.range(1).select(F.lit(10**9).alias("event_id").cast("long"), F.expr("timestamp '2100-01-01 00:00:00'").alias("ts"), F.lit(1).cast("long").alias("user_id")).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = files.event_bins(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("binned").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = events.groupBy((F.col("user_id") % 16).alias("shard"), F.date_trunc("hour", "ts").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, spark.table("binned").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_order_by_gaps(spark):
     df = maf.parse_lines(spark.createDataFrame([("x", "##maf version=1\n\na\ns a.b 0 2 + 9 A-C-\n# note\ns c.d 0 4 + 9 ACGT\ns e.f 0 3 + 9 ACG-\ns g.h 0 4 + 9 ACGT\n")], "path string, value string"))
     got = [r.raw.split()[1] if r.type == "s" else r.type for r in blocks.order_by_gaps(df).where("block_id = 1").orderBy("place").collect()]
