@@ -100,6 +100,13 @@ def find_position(rows: DataFrame, name: str, pos: int) -> DataFrame:
     return hit.select(*where, "block_id", "row_idx", "name", "start", "length", "strand", "source_length", X.vignette(F.col("text"), offset).alias("vignette"))
 
 
+def find_lines(lines: DataFrame, name: str, pos: int) -> DataFrame:
+    """The rows of ``find_position`` with the numbers of their own line and of their block's a line (``block_line``)."""
+    rows = lines.where("type = 's'").withColumn("row_idx", F.col("line_no"))
+    opening = lines.where("type = 'a'").groupBy("path", "block_id").agg(F.min("line_no").alias("block_line"))
+    return find_position(rows, name, pos).drop("row_idx").join(opening, ["path", "block_id"], "left")
+
+
 def overlaps(start: int, stop: int) -> Column:
     """Whether the row's places meet the closed interval; its ends may come in either order."""
     start, stop = min(start, stop), max(start, stop)

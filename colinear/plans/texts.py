@@ -111,14 +111,11 @@ r AS (SELECT block_id, min(col) AS l, max(col) AS r, row_number() OVER (PARTITIO
 """ + ORACLES["region_lines"][len(WITH):]
 
 
-@query(f"SELECT b AS block_id, line_no, row_idx FROM (SELECT *, dense_rank() OVER (ORDER BY block_id) AS b, row_number() OVER (ORDER BY block_id, row_idx) + 2 * dense_rank() OVER (ORDER BY block_id) + 1 AS line_no FROM a) AS x WHERE name = 'sp1.chr1' AND {LEFT} <= 510 AND {LEFT} + length - 1 >= 510")
+@query(f"SELECT b AS block_id, block_line, line_no, name, start FROM (SELECT *, min(line_no) OVER (PARTITION BY b) - 1 AS block_line FROM (SELECT *, dense_rank() OVER (ORDER BY block_id) AS b, row_number() OVER (ORDER BY block_id, row_idx) + 2 * dense_rank() OVER (ORDER BY block_id) + 1 AS line_no FROM a) AS x) AS y WHERE name = 'sp1.chr1' AND {LEFT} <= 510 AND {LEFT} + length - 1 >= 510")
 def position_lines(spark, d):
     """Of one file: the header and a blank line, then each block's lines and a blank one."""
     path = _written(maf.blocks_text(_headed(spark, d)).orderBy("block_id").coalesce(1).sortWithinPartitions("block_id"), "maf")
-    read = maf.read_lines(spark, path)
-    found = blocks.find_position(maf.rows(read), "sp1.chr1", 510)
-    s = read.where("type = 's'").select("block_id", F.col("line_no"), (F.row_number().over(blocks.block().orderBy("line_idx")).cast("long") - 1).alias("row_idx"))
-    return found.join(s, ["block_id", "row_idx"]).select("block_id", "line_no", "row_idx")
+    return blocks.find_lines(maf.read_lines(spark, path), "sp1.chr1", 510).select("block_id", "block_line", "line_no", "name", "start")
 
 
 # The first row of each block has a fault by the block's number; one block in FAULTS is whole for every 20 that are not.
