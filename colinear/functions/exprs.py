@@ -20,7 +20,9 @@ def chromosome(name: Column) -> Column:
 
 
 def reverse_complement(text: Column) -> Column:
-    return F.translate(F.reverse(text), CODES, COMPLEMENTS)
+    """A character that is no code, N, X or gap is an error."""
+    strange = text.rlike(f"[^{CODES}NnXx-]")
+    return F.when(strange, F.raise_error(F.concat(F.lit("no nucleotide code in "), text)).cast("string")).otherwise(F.translate(F.reverse(text), CODES, COMPLEMENTS))
 
 
 def bases(text: Column) -> Column:

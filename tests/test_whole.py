@@ -270,6 +270,14 @@ def test_sorted_and_extracted_lines(spark):
     assert [r.raw for r in cut] == ["a score=0 spliced=true splice_id=1_0", "s t.c 20 2 + 90 AC", "# kept", "s q.c 0 1 + 90 A-", "a score=0 spliced=true splice_id=4_0", "s t.c 12 4 + 90 GTAC", "e z.c 0 5 + 9 I"]
 
 
+def test_complement_of_strange_characters(spark):
+    texts = spark.createDataFrame([("ACGTMRWSYKVHDBNX-nxa",), ("AC*T",)], "t string")
+    back = texts.select(X.reverse_complement(F.col("t")).alias("r"))
+    assert texts.where("t LIKE '%NX%'").select(X.reverse_complement(F.col("t")).alias("r")).first().r == "txn-XNVHDBMRSWYKACGT"
+    with pytest.raises(Exception, match="no nucleotide code"):
+        back.collect()
+
+
 def test_files_stay_apart_when_written(spark):
     lines = maf.parse_lines(spark.createDataFrame([("x", "##maf version=1\n\na score=0\ns a.b 0 1 + 5 A\n"), ("y", "##maf version=1\n# second\n")], "path string, value string"))
     assert {(r.path, r.block_id) for r in maf.blocks_text(lines).collect()} == {("x", 0), ("x", 1), ("y", 0)}
