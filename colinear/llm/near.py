@@ -176,14 +176,18 @@ def _prefix_pairs(docs: DataFrame, width: int, percent: int) -> DataFrame:
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "shingle"))
     prefix = sets.join(common.where("df > 1"), "shingle").withColumn("place", place).where(F.col("place") <= F.expr(f"n - ceil(n * {percent} / 100.0D) + 1")).where("low < high")
     prefix = stored(prefix.select("shingle", "doc_id", "label", "n", "place"))
-    # Documents of a shingle's largest component are no pairs among themselves: only the others look for partners.
-    sizes = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct(F.col("n").alias("k"), F.col("label").alias("largest"))).alias("m"))
-    seeking = prefix.join(sizes.select("shingle", "m.largest"), "shingle").where("label <> largest")
-    left, right = (x.select("shingle", F.col("doc_id").alias(k), F.col("label").alias(f"label_{k}"), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"place_{k}")) for k, x in (("a", seeking), ("b", prefix)))
+    # Documents of a shingle's largest component are no pairs among themselves: only the others look for partners. The
+    # documents of a frequent shingle are dealt in parts, to each of which those that look are sent.
+    sizes = prefix.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("shingle").agg(F.max(F.struct(F.col("n").alias("k"), F.col("label").alias("largest"))).alias("m"), F.sum("n").alias("members"))
+    parts = F.least(F.ceil(F.col("members") / STAR), F.lit(STAR_PARTS)).cast("int")
+    told = stored(spread_join(prefix, sizes.select("shingle", "m.largest", parts.alias("parts"), "members"), ["shingle"], "members", prefix.count()))
+    seeking = told.where("label <> largest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    found = told.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    left, right = (x.select("shingle", "part", F.col("doc_id").alias(k), F.col("label").alias(f"label_{k}"), F.col("n").alias(f"n_{k}"), F.col("place").alias(f"place_{k}")) for k, x in (("a", seeking), ("b", found)))
     # At the first shared shingle, what is left of both sets bounds what they can share.
     most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) + 1
     near = (most * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("label_a") != F.col("label_b"))
-    return left.join(right, "shingle").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return left.join(right, ["shingle", "part"]).where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
@@ -266,3 +270,15 @@ def _groups(own: DataFrame, width: int, percent: int) -> DataFrame:
 
 def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"), width=4)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0) AS x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s AS x JOIN s AS y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2) AS p JOIN n AS na ON na.doc_id = p.a JOIN n AS nb ON nb.doc_id = p.b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+near AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS v, doc_id AS label FROM documents UNION SELECT near.b, reach.label FROM reach JOIN near ON near.a = reach.v WHERE reach.label < near.b),
+least AS (SELECT v, min(label) AS component_id FROM reach GROUP BY v)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = documents.doc_id AS kept FROM documents JOIN least ON v = documents.doc_id LEFT JOIN n ON n.doc_id = documents.doc_id
+"""
