@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import scratch, shared_folder, stored
 
-__all__ = ["Rolling", "bytes_of", "components", "id_and_text", "kind_count", "mapped", "mix64", "scratch", "shared_folder", "slices", "span_digest", "spread_join", "stored", "table"]
+__all__ = ["Rolling", "bytes_of", "components", "id_and_text", "kind_count", "mapped", "mix64", "scratch", "shared_folder", "slices", "span_digest", "spread_join", "sql_spans", "stored", "table"]
 
 SLICE_BYTES = 4 << 20
 BATCH_BYTES = 4 << 20  # of an Arrow batch on its way to Python; Spark's own default is sixteen times as much
@@ -65,6 +65,18 @@ def span_digest(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def sql_spans(rank: int, kind: str, pattern: str, holds: str) -> str:
+    """SQL of (i, rank, kind, part, start, stop) over a table d (i, t): each match of the pattern for which ``holds``.
+
+    Marks are put around every match; every second piece between marks is one, at the sum of the lengths before it.
+    """
+    quoted = pattern.replace("'", "''")
+    marked = f"string_split(regexp_replace(t, '{quoted}', concat(chr(1), '\\0', chr(1)), 'g'), chr(1))"
+    pieces = f"SELECT i, unnest({marked}) AS part, unnest(range(1, len({marked}) + 1)) AS n FROM d"
+    placed = f"SELECT i, part, n, sum(length(part)) OVER (PARTITION BY i ORDER BY n) AS stop FROM ({pieces}) AS a"
+    return f"SELECT i, {rank} AS rank, '{kind}' AS kind, part, stop - length(part) AS start, stop FROM ({placed}) AS b WHERE n % 2 = 0 AND {holds}"
+
+
 def kind_count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, kind_count, mapped, slices, span_digest, table
+from .common import id_and_text, kind_count, mapped, slices, span_digest, sql_spans, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -27,7 +27,7 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
+IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.A)  # other scripts may touch it
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
 
@@ -133,3 +133,38 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_digest(spans).alias("spans"),
         F.coalesce(F.array_max(F.transform(spans, lambda s: s["score"])), F.lit(0.0)).alias("top_score"),
     )
+
+
+_digits = "regexp_replace(part, '[^0-9]', '', 'g')"
+_digit = f"cast(substr({_digits}, k, 1) AS int)"
+_luhn = f"list_sum([CASE WHEN (len({_digits}) - k) % 2 = 0 THEN {_digit} WHEN {_digit} > 4 THEN 2 * {_digit} - 9 ELSE 2 * {_digit} END for k in range(1, len({_digits}) + 1)]) % 10 = 0"
+_iban = "replace(part, ' ', '')"
+_turned = f"concat(substr({_iban}, 5), substr({_iban}, 1, 4))"
+# A letter is two digits; the remainder is carried from character to character.
+_mod97 = f"list_reduce([cast(0 AS bigint)] || [CASE WHEN ascii(c) >= 65 THEN ascii(c) + 945 ELSE ascii(c) - 48 END for c in string_split({_turned}, '')], lambda a, v: CASE WHEN v >= 1000 THEN (a * 100 + v - 1000) % 97 ELSE (a * 10 + v) % 97 END) = 1"
+# The patterns for an engine without lookaround: an ssn is a whole run of digits and hyphens.
+SQL_PATTERNS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max([coalesce(try_cast(concat('0', ltrim(x, '0')) AS hugeint), 256) for x in string_split(part, '.')]) <= 255"),
+    "card": (CARD.pattern, f"len({_digits}) BETWEEN 12 AND 19 AND {_luhn}"),
+    "phone": (PHONE.pattern, f"len({_digits}) BETWEEN 9 AND 15"),
+    "iban": (IBAN.pattern, f"len({_iban}) BETWEEN 15 AND 34 AND {_mod97}"),
+    "ssn": ("[0-9-]+", "regexp_full_match(part, '[0-9]{3}-[0-9]{2}-[0-9]{4}')"),
+}
+
+
+def _sql_near(pattern: str) -> str:
+    return f"(regexp_matches(before, '(?i){pattern}') OR regexp_matches(behind, '(?i){pattern}'))"
+
+
+_prior = " ".join(f"WHEN '{k}' THEN cast({v} AS double)" for k, v in PRIOR.items())
+_context = " OR ".join(f"(kind = '{k}' AND {_sql_near(p.pattern)})" for k, p in CONTEXT.items())
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+parts AS ({" UNION ALL ".join(sql_spans(rank, kind, *SQL_PATTERNS[kind]) for rank, kind in enumerate(KINDS))}),
+placed AS (SELECT p.i, rank, kind, start, stop, substr(t, cast(greatest(start - {CONTEXT_CHARS}, 0) + 1 AS bigint), cast(least(start, {CONTEXT_CHARS}) AS bigint)) AS before, substr(t, cast(stop + 1 AS bigint), {CONTEXT_CHARS}) AS behind FROM parts AS p JOIN d ON p.i = d.i),
+told AS (SELECT *, CASE kind {_prior} END AS prior, {_context} AS context, {_sql_near(AGAINST.pattern)} AS against FROM placed),
+scored AS (SELECT *, concat(kind, ':', start, ':', stop) AS s, (CASE WHEN context THEN prior + (1 - prior) / 2 ELSE prior END) / (CASE WHEN against THEN 2 ELSE 1 END) AS score FROM told WHERE kind <> 'ssn' OR context),
+n AS (SELECT i, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(s, ',' ORDER BY start, rank) FILTER (rank <= 3) AS base, string_agg(s, ',' ORDER BY start, rank) AS spans, max(score) AS top_score FROM scored GROUP BY i)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(top_score, 0) AS top_score FROM d LEFT JOIN n ON d.i = n.i
+"""

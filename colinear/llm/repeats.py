@@ -394,3 +394,16 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cro
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, cast(2 * s + 1 AS bigint), 200) AS bytes FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS s FROM d WHERE length(h) >= 200) AS x),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY bytes ORDER BY doc_id, s) AS k FROM w) AS x WHERE k > 1),
+islands AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS fresh FROM again) AS x),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM islands GROUP BY doc_id, g),
+cut AS (SELECT r.doc_id, a, b, substr(h, cast(2 * before + 1 AS bigint), cast(2 * (a - before) AS bigint)) AS kept FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs) AS r JOIN d ON r.doc_id = d.doc_id),
+gone AS (SELECT doc_id, sum(b - a) AS n, count(*) AS k, max(b) AS last, string_agg(kept, '' ORDER BY a) AS kept FROM cut GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, cast(coalesce(n, 0) AS bigint) AS n_removed, coalesce(k, 0) AS n_spans, sha256(unhex(concat(coalesce(kept, ''), substr(h, cast(2 * coalesce(last, 0) + 1 AS bigint))))) AS kept_sha256
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id
+"""

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, kind_count, span_digest, stored, table
+from .common import id_and_text, kind_count, span_digest, sql_spans, stored, table
 
 # The base patterns.
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -192,3 +192,25 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         span_digest(spans).alias("spans"),
         F.size(F.filter(spans, lambda s: s["kind"].isin(*WEAK))).cast("long").alias("n_linked"),
     )
+
+
+# The patterns for an engine without lookbehind: whole runs, whose length is asked for afterwards.
+SQL_PATTERNS = {
+    "assign": (ASSIGN, f"length(regexp_extract(part, '{ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 6"),
+    "access": (ACCESS, "length(part) >= 20"),
+    "hex": ("[0-9a-f]+", "length(part) >= 24"),
+    "keyid": (KEYID, "true"),
+    "blob": ("[A-Za-z0-9+/]+={0,2}", "length(rtrim(part, '=')) >= 32 AND regexp_matches(part, '[0-9]') AND regexp_matches(part, '[a-z]') AND regexp_matches(part, '[A-Z]')"),
+    "endpoint": (ENDPOINT, "true"),
+}
+
+
+_needs = " OR ".join(f"(w.kind = '{weak}' AND p.kind IN ({', '.join(repr(k) for k, r in ROLE.items() if r in roles)}))" for weak, roles in NEEDS.items())
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+parts AS ({" UNION ALL ".join(sql_spans(rank, kind, *SQL_PATTERNS[kind]) for rank, kind in enumerate(KINDS))}),
+linked AS (SELECT DISTINCT w.* FROM parts AS w JOIN parts AS p ON w.i = p.i AND p.start - w.stop <= {SCOPE} AND w.start - p.stop <= {SCOPE} AND ({_needs}) WHERE w.rank > 2),
+spans AS (SELECT *, concat(kind, ':', start, ':', stop) AS s FROM (SELECT * FROM parts WHERE rank <= 2 UNION ALL SELECT * FROM linked) AS x),
+n AS (SELECT i, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, string_agg(s, ',' ORDER BY start, rank) FILTER (rank <= 2) AS base, string_agg(s, ',' ORDER BY start, rank) AS spans, count(*) FILTER (rank > 2) AS n_linked FROM spans GROUP BY i)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked FROM d LEFT JOIN n ON d.i = n.i
+"""
