@@ -3,10 +3,12 @@
 Seven heuristic labellers each vote good, bad or nothing on a whole text. A two-class Dawid-Skene model estimates their
 accuracies, without any label, from the counts of all vote patterns of the corpus (3**7 at most, whatever the corpus).
 The posterior of each pattern labels documents; a logistic scorer over hashed features of the text is trained on a
-bounded sample of them (SAMPLE documents by the order of a hash), and scores every document.
+bounded sample of them, and scores every document. The sample is the first SAMPLE different (doc_id, text) by the order
+of a hash, as far as they have SAMPLE_CELLS features in all; how often a row occurs is its weight, so ties are no matter.
 
-Null or empty text has no words: posterior of its votes, score 0, not kept. Repeated rows give one result row each. If
-every document votes alike the posterior is 1 for good.
+Null or empty text has no words: posterior of its votes, score 0, not kept. Repeated rows give one result row each, an
+empty table none. If every document votes alike the posterior is 1 for good. A very long text is worked on whole. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, bytes_of, id_and_text, mix64, slices, table
+from .common import Rolling, bytes_of, id_and_text, mapped, mix64, slices, stored, table
 
 LABELLERS = ("symbols", "columns", "repetition", "short_words", "sentences", "length", "letters")
-SAMPLE = 6_000  # documents that the scorer is trained on
+SAMPLE, SAMPLE_CELLS = 6_000, 8_000_000  # documents that the scorer is trained on, and their features (about 64 MB)
 CELLS = 1 << 14
 ROUNDS, EPOCHS, STEP, PULL = 60, 300, 2.0, 1e-5
 PRIOR_GOOD = 0.8
@@ -93,7 +95,7 @@ def _votes(docs: DataFrame) -> DataFrame:
             votes = ["".join("-0+"[v + 1] for v in row) for row in Measures(bytes_of(batch.column(1))).votes().tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string())], ["doc_id", "votes"])
 
-    return docs.mapInArrow(run, "doc_id long, votes string")
+    return mapped(docs, run, "doc_id long, votes string")
 
 
 def posteriors(patterns: dict[str, int]) -> dict[str, float]:
@@ -117,20 +119,19 @@ def posteriors(patterns: dict[str, int]) -> dict[str, float]:
     return dict(zip(names, good.tolist(), strict=True))
 
 
-def train(sample: DataFrame, posterior: dict[str, float]) -> np.ndarray:
-    """Weights of the hashed linear scorer (the last is the intercept) from at most SAMPLE rows of (votes, cells, values)."""
-    rows = sample.collect()
+def train(rows: list, posterior: dict[str, float]) -> np.ndarray:
+    """Weights of the hashed linear scorer (the last is the intercept) from rows of (votes, cells, values, copies), the arrays as bytes."""
     if not rows:
         return np.zeros(CELLS + 1, np.float32)
-    n = np.array([len(r["cells"]) for r in rows])
-    cell = np.fromiter((c for r in rows for c in r["cells"]), np.int64, int(n.sum()))
-    value = np.fromiter((v for r in rows for v in r["values"]), np.float64, int(n.sum()))
-    doc = np.repeat(np.arange(len(rows)), n)
-    wanted = np.array([posterior[r["votes"]] for r in rows])
+    cells, values = [np.frombuffer(r["cells"], np.int32) for r in rows], [np.frombuffer(r["cell_values"], np.float32) for r in rows]
+    cell, value = np.concatenate(cells), np.concatenate(values)
+    doc = np.repeat(np.arange(len(rows)), [len(c) for c in cells])
+    wanted, copies = np.array([posterior[r["votes"]] for r in rows]), np.array([r["copies"] for r in rows], float)
+    copies /= copies.sum()
     weight, velocity = np.zeros(CELLS + 1), np.zeros(CELLS + 1)
     for _ in range(EPOCHS):
         z = np.bincount(doc, weights=value * weight[cell], minlength=len(rows)) + weight[-1]
-        error = (1 / (1 + np.exp(-z)) - wanted) / len(rows)
+        error = (1 / (1 + np.exp(-z)) - wanted) * copies
         slope = np.append(np.bincount(cell, weights=value * error[doc], minlength=CELLS), error.sum()) + PULL * weight
         velocity = 0.9 * velocity - STEP * slope
         weight += velocity
@@ -148,14 +149,21 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             m = Measures(bytes_of(batch.column(1)))
             votes = ["".join("-0+"[v + 1] for v in row) for row in m.votes().tolist()]
             doc, cell, value = m.features()
-            cut = np.searchsorted(doc, np.arange(m.n_docs + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), pa.ListArray.from_arrays(cut, pa.array(cell, pa.int32())), pa.ListArray.from_arrays(cut, pa.array(value, pa.float32()))], ["votes", "cells", "values"])
-
-    # The rows with the smallest hashes; only ids and hashes are ordered, texts of the chosen ones alone are read on.
-    digest = F.xxhash64("doc_id", "text")
-    last = own.select(digest.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    chosen = own.where(digest <= F.lit(last)) if last is not None else own.limit(0)
-    weights = train(chosen.mapInArrow(sampled, "votes string, cells array<int>, values array<float>").limit(2 * SAMPLE), posterior)
+            cut = np.searchsorted(doc, np.arange(m.n_docs + 1)).tolist()
+            cell, value = cell.astype(np.int32), value.astype(np.float32)
+            columns = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (cell, value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string()), pa.array(np.diff(cut)), *(pa.array(c, pa.binary()) for c in columns)], ["h", "votes", "n_cells", "cells", "cell_values"])
+
+    # The rows with the smallest hashes; only hashes are counted and ordered, texts of the chosen ones alone are read on.
+    hashed = own.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    least = stored(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).orderBy("h").limit(SAMPLE))
+    last = least.agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(last)) if last is not None else hashed.limit(0)
+    found = stored(mapped(chosen, sampled, "h long, votes string, n_cells long, cells binary, cell_values binary").dropDuplicates(["h"]))
+    so_far = F.sum("n_cells").over(Window.orderBy("h"))  # over SAMPLE rows at most
+    kept = found.select("h", so_far.alias("so_far")).where(F.col("so_far") <= SAMPLE_CELLS)
+    rows = found.join(kept, "h").join(least, "h").orderBy("h").select("votes", "cells", "cell_values", "copies").collect()
+    weights = train(rows, posterior)
     shared = docs.sparkSession.sparkContext.broadcast((posterior, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +176,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             score = np.where(m.n > 0, 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.n, pa.int64()), pa.array(votes, pa.string()), pa.array([known[v] for v in votes], pa.float64()), pa.array(score, pa.float64()), pa.array(score >= 0.5)], ["doc_id", "n_words", "votes", "posterior", "score", "keep"])
 
-    return own.mapInArrow(run, "doc_id long, n_words long, votes string, posterior double, score double, keep boolean")
+    return mapped(own, run, "doc_id long, n_words long, votes string, posterior double, score double, keep boolean")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
