@@ -1,7 +1,8 @@
 """Language identification as inference of a mixture: which languages, in which proportions, a document holds.
 
 Learning: counts of letter trigrams (the neighbours of every letter, word edges included) by language, over all training
-documents, hashed into 2**16 cells, as log probabilities with add-half smoothing. Inference: the words of a document are
+documents, hashed into cells, as log probabilities with add-half smoothing. There are 2**16 cells for up to FINE
+languages, half as many whenever their number doubles, 2**8 at least. Inference: the words of a document are
 draws from a mixture of languages; expectation-maximisation estimates the proportions, and the set of languages is the
 one with the best likelihood less PENALTY * log(words) for every language after the first, along the order of their
 proportions, of any size up to all languages. A document's search ends where no larger set can win: the likelihood is
@@ -9,9 +10,10 @@ concave in the proportions, which bounds it over all sets from one estimate. The
 the set, its score that language's proportion.
 
 Only ``text`` is an input of a prediction. Documents whose crc32(doc_id as text) mod 5 is 0, and those without an id, are
-never learnt from. A null text, one without letters, or a model without languages gives ``und`` and score 0. Repeated
-rows give one result row each. The model has at most MAX_LANGUAGES * 2**16 cells, which bounds what is collected and
-broadcast.
+never learnt from. A null text, one without letters, or a model without languages gives ``und`` and score 0. Ties go to
+the language first in order. Repeated rows give one result row each, an empty table none. A very long text is worked on
+whole. The model has FINE * 2**16 numbers at most (64 MB), which bounds what is collected and broadcast; a column of over
+FINE * 2**8 values holds no languages and is an error. Other columns are not read, ``known`` passes them on as they are.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_and_text, slices, table
+from .common import id_and_text, mapped, slices, table
 
-CELLS = 1 << 16
-MAX_LANGUAGES = 256
+BITS, FEWEST_BITS = 16, 8
+CELLS = 1 << BITS
+FINE = 256  # languages that have all cells
+SLICE = 1 << 18  # bytes of text worked on at once, for few languages
 FOLDS = 5
 PENALTY = 3.0
 ROUNDS, SET_ROUNDS = 8, 5
@@ -59,39 +63,52 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return (cell >> np.uint32(16)).astype(np.int64), starts, np.searchsorted(ends, at[starts], side="right")
 
 
+def bits_for(languages: int) -> int:
+    """Bits of a cell's number that are used, so that the model is bounded however many languages there are."""
+    bits = BITS - max(0, (max(languages, 1) - 1).bit_length() - (FINE - 1).bit_length())
+    if bits < FEWEST_BITS:
+        raise ValueError(f"{languages} values are no languages")
+    return bits
+
+
+def limit_for(languages: int) -> int:
+    return SLICE * 16 // max(16, languages)
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order and their log probabilities, cells by languages, from the documents of the other folds."""
     held = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(FOLDS)) == 0
     rows = docs.where(~held & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # A bounded read: one value more than there may be languages tells that there are too many.
+    names = sorted(r.lang for r in rows.select("lang").distinct().limit((FINE << (BITS - FEWEST_BITS)) + 1).collect())
+    bits = bits_for(len(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=SLICE):
             names = np.array(batch.column(0).to_pylist(), object)
             texts = np.array(batch.column(1).to_pylist(), object)
             for lang in dict.fromkeys(names.tolist()):
-                cell = features(texts[names == lang].tolist())[0]
-                total[lang] = total.get(lang, 0) + np.bincount(cell, minlength=CELLS)
-                if len(total) > MAX_LANGUAGES:
-                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
+                cell = features(texts[names == lang].tolist())[0] >> (BITS - bits)
+                total[lang] = total.get(lang, 0) + np.bincount(cell, minlength=1 << bits)
         for lang, n in total.items():
             at = np.flatnonzero(n)
             for k in range(0, len(at), 8192):
                 part = at[k : k + 8192]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part, pa.int32()), pa.array(n[part], pa.int64())], ["lang", "cell", "n"])
 
-    counted = rows.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    # One row for each language and 256 cells; the collected model is bounded by MAX_LANGUAGES and CELLS.
+    counted = mapped(rows, run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    # One row for each language and 256 cells.
     packed = counted.groupBy("lang", F.shiftright("cell", 8).alias("part")).agg(F.collect_list(F.struct("cell", "n")).alias("cells")).collect()
-    names = sorted({r["lang"] for r in packed})
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.full((CELLS, len(names)), 0.5)
+    seen = {r["lang"] for r in packed}
+    names = [x for x in names if x in seen]  # languages without a letter can't be told
+    place = {x: i for i, x in enumerate(names)}
+    counts = np.full((1 << bits, len(names)), 0.5, np.float32)
     for r in packed:
-        column = names.index(r["lang"])
+        column = place[r["lang"]]
         for cell, n in r["cells"]:
             counts[cell, column] += n
-    return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    return names, np.log(counts / counts.sum(axis=0, dtype=np.float64)).astype(np.float32)
 
 
 def mixtures(texts: list[str | None], log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +117,7 @@ def mixtures(texts: list[str | None], log_p: np.ndarray) -> tuple[np.ndarray, np
     cell, starts, owner = features(texts)
     if not len(starts) or not n_langs:
         return out, size
+    cell >>= BITS - (len(log_p).bit_length() - 1)
     like = np.add.reduceat(log_p[cell], starts, axis=0)
     best = like.max(axis=1)
     chance = np.exp(np.maximum(like - best[:, None], -60), dtype=np.float32)
@@ -156,14 +174,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, log_p = shared.value
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=limit_for(len(names))):
             share, size = mixtures(batch.column(1).to_pylist(), log_p)
             order = np.argsort(-share, axis=1, kind="stable") if names else np.zeros((len(share), 0), np.int64)
             langs = [[names[i] for i in o[:k]] for o, k in zip(order, size, strict=True)]
             score = np.clip(share.max(axis=1, initial=0), 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] if x else UNKNOWN for x in langs]), pa.array(score, pa.float64()), pa.array(langs, pa.list_(pa.string()))], ["doc_id", "lang_pred", "score", "languages"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>")
+    return mapped(id_and_text(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double, languages array<string>")
 
 
 def known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, text_col: str = "text") -> DataFrame:
@@ -171,11 +189,12 @@ def known(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float, te
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 1 << 20):
-            share, _ = mixtures(batch.column(at).to_pylist(), shared.value[1])
+        names, log_p = shared.value
+        for batch in slices(batches, text_col, limit_for(len(names))):
+            share, _ = mixtures(batch.column(at).to_pylist(), log_p)
             yield batch.filter(pa.array(share.max(axis=1, initial=0) >= max(least, 1e-9)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
