@@ -90,6 +90,16 @@ def test_near_against_all_pairs(spark):
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.component_id == r.doc_id) for r in got)
 
 
+def test_near_of_one_id_with_different_texts(spark):
+    """One result row each, of one component, whichever text is linked; other documents find the linked one."""
+    texts = [" ".join(f"{w}{k}" for w in WORDS) for k in range(3)]
+    rows = [(1, texts[0]), (2, texts[1]), (2, texts[2]), (2, texts[2]), (2, ""), (3, texts[1]), (4, texts[2]), (None, texts[0]), (None, texts[1])]
+    got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [r[:2] for r in got] == sorted((str(i), len(t) and 16) for i, t in rows)
+    assert {r[2] for r in got if r[0] == "2"} == {2} and {r[2] for r in got if r[0] == "1"} == {1}
+    assert sorted(r[2] for r in got if r[0] in "34") in ([2, 4], [2, 3], [3, 4])
+
+
 def test_decontamination_against_plain_search(spark):
     items = {1: WORDS[:10], 2: WORDS[3:16], 3: WORDS[:2], 4: ["amber"] * 11, 5: WORDS[5:15]}
     texts = {i: [WORDS[(j * (i + 1) + (j // 7) * i) % 20] for j in range(90)] for i in range(25)}
@@ -127,3 +137,32 @@ def test_pipeline_stages(spark, docs, bench, tmp_path):
     assert 1 in kept["near_dedup"] and not kept["near_dedup"] & {2, 2**60}
     assert 8 in kept["near_dedup"] and 8 not in kept["decontamination"] and kept["secret_scan"] == kept["decontamination"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+
+
+def test_pipeline_of_an_empty_table(spark, docs, bench, tmp_path):
+    docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    bench.where("false").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        assert out.collect() == [] and (k == 4 or out.columns == now.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_parts_of_stages_on_empty_tables(docs, bench):
+    none = docs.where("false")
+    assert decontaminate.remove(none, bench).collect() == [] and decontaminate.remove(docs, bench.where("false")).count() == len(ROWS)
+    assert language.known(none, language.learn(docs), 0.5).collect() == [] and language.known(docs, language.learn(none), 0.5).collect() == []
+    assert mixing.replicate(none).collect() == [] and mixing.replicate(docs.where("text IS NULL OR text = ''")).collect() == []
+
+
+def test_mixing_without_given_weights(docs):
+    """Null sources are one source, null and empty texts are drawn as others of their source, repeated rows alike."""
+    got = mixing.replicate(docs).collect()
+    assert {r.source for r in got} <= {"a", "b", "c", None} and len(got) > 5
+    per = defaultdict(set)
+    for r in got:
+        per[r.doc_id, r.source, r.text].add(r.copy)
+    assert all(copies == set(range(1, len(copies) + 1)) for copies in per.values())
+    fives = [r.copy for r in got if r.doc_id == 5]
+    assert all(fives.count(k) == 2 for k in fives)
