@@ -5,6 +5,10 @@ Every stage takes (spark, docs, sf_dir). All but the last return the columns of
 have no letters or no language with at least half of their words. Near-duplicate removal keeps the document with the
 smallest id of each group (five-word shingles, similarity 0.8 or more) and one of repeated rows with the same id and
 text. Decontamination drops documents with a benchmark window of ten words. Secrets are masked inside the text.
+
+Null and empty texts have no language and go with the first stage; rows without an id stay in every stage and are drawn
+by the last one alike; null languages are not learnt from and null sources are one source. An empty table stays empty
+with its columns. Texts of any length are worked on whole. Columns beside those of documents are passed on.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from colinear.llm import decontaminate, language, mixing, near, secrets
-from colinear.llm.common import table
+from colinear.llm.common import shared_folder, table
 
 MAIN_SHARE = 0.5
 
@@ -46,10 +50,8 @@ ORACLE_SQL = None  # no SQL for sketches and learnt models; tests/llm/test_pipel
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Between stages the rows are a table in the shared checkpoint folder."""
-    from colinear.llm.common import shared_folder
-
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/tables/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
