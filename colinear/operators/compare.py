@@ -91,6 +91,20 @@ def found(a: DataFrame, b: DataFrame, near: int = 0) -> DataFrame:
     return a.join(hits, PAIR, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def found_among(p: DataFrame, rows: DataFrame, near: int = 0) -> DataFrame:
+    """As ``found`` in the pairs of these rows, none of which is made: both positions of a pair are looked up among the
+    rows' cells and must meet in a column. The cost grows with the pairs asked for, however many rows a column has."""
+    c = cells(rows)
+    one, two = (c.select("block_id", "col", F.col("row_idx").alias(f"r{k}"), F.col("name").alias(f"seq{k}"), F.col("pos").alias(f"at{k}")) for k in (1, 2))
+    own = p.select("seq1", "seq2", F.struct(*PAIR).alias("own"), F.col("pos1").alias("at1"), F.col("pos2").alias("at2"))
+    if near:
+        around = lambda c: F.explode(F.sequence(F.col(c) - near, F.col(c) + near)).alias(c)
+        own = own.select("seq1", "seq2", "own", "at1", around("at2")).union(own.select("seq1", "seq2", "own", around("at1"), "at2")).distinct()
+    met = own.join(one, ["seq1", "at1"]).join(two, ["seq2", "at2", "block_id", "col"]).where("r1 <> r2")
+    hits = met.select("own").distinct().select("own.*").withColumn("hit", F.lit(True))
+    return p.join(hits, PAIR, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
 def regions(p: DataFrame, intervals: DataFrame) -> DataFrame:
     """``region`` of each pair: both, A (only the first position inside), B or neither."""
     for k in (1, 2):
@@ -154,9 +168,10 @@ def wiggles(ab: DataFrame, ba: DataFrame, regions_: DataFrame, width: int) -> Da
 def tested(a: DataFrame, b: DataFrame, near: int = 0, samples: int | None = None, seed: int = 0, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The pairs of a with ``hit`` in b, and those of b in a."""
     names = legit_names(a, b) if names is None else names
+    if samples is not None:
+        return tuple(found_among(sampled_pairs(x, names, samples, seed), y, near) for x, y in ((a, b), (b, a)))
     all_ = [pairs(x, names) for x in (a, b)]
-    some = all_ if samples is None else [sampled_pairs(x, names, samples, seed) for x in (a, b)]
-    return found(some[0], all_[1], near), found(some[1], all_[0], near)
+    return found(all_[0], all_[1], near), found(all_[1], all_[0], near)
 
 
 def compare(a: DataFrame, b: DataFrame, near: int = 0, samples: int | None = None, intervals: DataFrame | None = None, seed: int = 0, names: DataFrame | None = None) -> DataFrame:

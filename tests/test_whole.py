@@ -176,6 +176,19 @@ def test_samples_are_pairs_in_proportion(spark):
     assert len(by) == 11 and compare.sampled_pairs(df, names, total).count() == total
 
 
+@pytest.mark.parametrize("near", [0, 2])
+def test_pairs_are_found_among_cells(spark, near):
+    """The same hits with all pairs made and with none, and samples are hits alike."""
+    truth = {f"s{k}.c": "".join(random.Random(k).choice("ACGT") for _ in range(30)) for k in range(4)}
+    a, b = (spark.createDataFrame(made(k, 25, size=30, truth=truth), SCHEMA) for k in (11, 12))
+    names = compare.legit_names(a, b)
+    every = compare.pairs(a, names).where("seq1 <> seq2")
+    whole = sorted(map(tuple, compare.found(every, compare.pairs(b, names), near).collect()))
+    assert sorted(map(tuple, compare.found_among(every, b, near).collect())) == whole and len({r[-1] for r in whole}) == 2
+    some = compare.tested(a, b, near, samples=60, seed=5)[0].where("seq1 <> seq2").collect()
+    assert 20 < len(some) < 120 and set(map(tuple, some)) <= set(whole)
+
+
 def test_report_is_nested(spark):
     a, b = (spark.createDataFrame(made(k, 12), SCHEMA) for k in (7, 8))
     bed = spark.createDataFrame([("s0.c0", 10, 60)], "name string, start long, stop long")
