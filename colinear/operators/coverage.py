@@ -51,9 +51,12 @@ def bases_per_sequence(rows: DataFrame) -> DataFrame:
     return each.join(total).select("name", "bases", (F.col("bases") / F.col("all_bases")).alias("share")).orderBy(F.desc("bases"), "name")
 
 
-def _sizes(rows: DataFrame) -> DataFrame:
-    """(block_id) of the blocks with over LARGE rows."""
-    return rows.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("block_id")
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of blocks of LARGE rows at most, and those of larger ones if a count of rows by block finds any."""
+    large = rows.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select("block_id")
+    if not large.limit(1).count():
+        return rows, None
+    return rows.join(large, "block_id", "left_anti"), rows.join(large, "block_id", "left_semi")
 
 
 def column_counts(rows: DataFrame, *keys: str) -> DataFrame:
@@ -67,16 +70,15 @@ def aligned_pairs(rows: DataFrame, seq1: str, seq2: str) -> DataFrame:
     Rows of a block of LARGE rows at most are paired by masks. In a larger block the bases of a column are first counted
     by name, and counts are paired, so the cost follows its names and not the square of its rows.
     """
-    own = rows.where(X.wildcard(F.col("name"), seq1) | X.wildcard(F.col("name"), seq2))
-    large = _sizes(own)
-    small, crowded = own.join(large, "block_id", "left_anti"), own.join(large, "block_id", "left_semi")
+    small, crowded = _split(rows.where(X.wildcard(F.col("name"), seq1) | X.wildcard(F.col("name"), seq2)))
     bits_ = masks(small, "name")
     one, two = (bits_.where(X.wildcard(F.col("name"), p)).select("block_id", "chunk", F.col("name").alias(f"name{k}"), F.col("mask").alias(f"m{k}")) for k, p in ((1, seq1), (2, seq2)))
     paired = one.hint("merge").join(two, ["block_id", "chunk"]).select("name1", "name2", F.expr("bit_count(m1 & m2)").cast("long").alias("n"))
-    counts = column_counts(crowded, "name")
-    one, two = (counts.where(X.wildcard(F.col("name"), p)).select("block_id", "col", F.col("name").alias(f"name{k}"), F.col("n").alias(f"n{k}")) for k, p in ((1, seq1), (2, seq2)))
-    counted = one.hint("merge").join(two, ["block_id", "col"]).select("name1", "name2", (F.col("n1") * F.col("n2")).alias("n"))
-    return paired.unionByName(counted).groupBy("name1", "name2").agg(F.sum("n").cast("long").alias("aligned"))
+    if crowded is not None:
+        counts = column_counts(crowded, "name")
+        one, two = (counts.where(X.wildcard(F.col("name"), p)).select("block_id", "col", F.col("name").alias(f"name{k}"), F.col("n").alias(f"n{k}")) for k, p in ((1, seq1), (2, seq2)))
+        paired = paired.unionByName(one.hint("merge").join(two, ["block_id", "col"]).select("name1", "name2", (F.col("n1") * F.col("n2")).alias("n")))
+    return paired.groupBy("name1", "name2").agg(F.sum("n").cast("long").alias("aligned"))
 
 
 def pair_coverage(rows: DataFrame, seq1: str, seq2: str) -> DataFrame:
@@ -94,10 +96,19 @@ def pair_coverage(rows: DataFrame, seq1: str, seq2: str) -> DataFrame:
 
 
 def aligned_places(rows: DataFrame, seq1: str, seq2: str) -> DataFrame:
-    """(name1, pos1, name2, n): how many bases of rows of seq2 are aligned with each base of seq1's rows, by name."""
-    one = cells(rows.where(X.wildcard(F.col("name"), seq1))).select("block_id", "col", F.col("name").alias("name1"), F.col("pos").alias("pos1"))
-    two = column_counts(rows.where(X.wildcard(F.col("name"), seq2)), "name").withColumnRenamed("name", "name2")
-    return one.hint("merge").join(two, ["block_id", "col"]).select("name1", "pos1", "name2", "n")
+    """(name1, pos1, name2, n): how many bases of rows of seq2 are aligned with each base of seq1's rows, in one or more rows a place.
+
+    In blocks of over LARGE rows the bases of seq2's rows are counted by column and name first.
+    """
+    out = None
+    for part, large in zip(_split(rows.where(X.wildcard(F.col("name"), seq1) | X.wildcard(F.col("name"), seq2))), (False, True), strict=True):
+        if part is not None:
+            one = cells(part.where(X.wildcard(F.col("name"), seq1))).select("block_id", "col", F.col("name").alias("name1"), F.col("pos").alias("pos1"))
+            other = part.where(X.wildcard(F.col("name"), seq2))
+            two = column_counts(other, "name") if large else cells(other).select("block_id", "col", "name", F.lit(1).cast("long").alias("n"))
+            met = one.hint("merge").join(two.withColumnRenamed("name", "name2"), ["block_id", "col"]).select("name1", "pos1", "name2", "n")
+            out = met if out is None else out.unionByName(met)
+    return out
 
 
 def pair_bins(rows: DataFrame, seq1: str, seq2: str, start: int, end: int, width: int = 1000) -> DataFrame:
@@ -137,18 +148,28 @@ def genome_lengths(rows: DataFrame, by_species: bool = True) -> DataFrame:
 def coverage(rows: DataFrame, n_max: int = 1, identity: bool = False, by_species: bool = True) -> DataFrame:
     """(query, target, n, coverage): the share of the query genome's places with n or more aligned target bases.
 
-    Every genome is a query at once. The bases of a column are counted by genome (and base) before they meet the query's
-    cells, so a column of k rows costs k times its genomes; a row is taken off its own genome's count. Depths are counted
+    Every genome is a query at once. In blocks of over LARGE rows the bases of a column are counted by genome (and base)
+    before they meet the query's cells, so a column of k rows costs k times its genomes; a row is taken off its own
+    genome's count. Depths are counted
     by place before anything is joined to lengths and stop at 127.
     """
     genome = X.species(F.col("name")) if by_species else F.col("name")
-    c = cells(rows).withColumns({"genome": genome, "base": F.upper("base")})
     by = ["block_id", "col", "base"] if identity else ["block_id", "col"]
-    c = c.where("base <> 'N'") if identity else c
-    q = c.select(*by, F.col("genome").alias("query"), F.col("name").alias("qname"), F.col("pos").alias("qpos"))
-    t = c.groupBy(*by, F.col("genome").alias("target")).agg(F.count(F.lit(1)).alias("n"))
-    others = F.col("n") - (F.col("query") == F.col("target")).cast("long")
-    met = q.hint("merge").join(t, by).select("query", "target", "qname", "qpos", others.alias("n")).where("n > 0")
+    met = None
+    for part, large in zip(_split(rows), (False, True), strict=True):
+        if part is None:
+            continue
+        c = cells(part).withColumns({"genome": genome, "base": F.upper("base")})
+        c = c.where("base <> 'N'") if identity else c
+        q = c.select(*by, F.col("row_idx").alias("rq"), F.col("genome").alias("query"), F.col("name").alias("qname"), F.col("pos").alias("qpos"))
+        if large:
+            t = c.groupBy(*by, F.col("genome").alias("target")).agg(F.count(F.lit(1)).alias("n"))
+            others = F.col("n") - (F.col("query") == F.col("target")).cast("long")
+            found = q.hint("merge").join(t, by).select("query", "target", "qname", "qpos", others.alias("n")).where("n > 0")
+        else:
+            t = c.select(*by, F.col("row_idx").alias("rt"), F.col("genome").alias("target"))
+            found = q.hint("merge").join(t, by).where("rq <> rt").select("query", "target", "qname", "qpos", F.lit(1).cast("long").alias("n"))
+        met = found if met is None else met.unionByName(found)
     depth = met.groupBy("query", "target", "qname", "qpos").agg(F.least(F.sum("n"), F.lit(127)).alias("depth"))
     levels = depth.select("query", "target", F.explode(F.sequence(F.lit(1).cast("long"), F.least("depth", F.lit(n_max)))).alias("n")).groupBy("query", "target", "n").agg(F.count(F.lit(1)).alias("places"))
     lengths = genome_lengths(rows, by_species)

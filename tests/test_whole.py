@@ -73,6 +73,25 @@ def test_pairs_by_masks_and_by_counts(spark, monkeypatch, large):
     assert got == want
 
 
+@pytest.mark.parametrize("large", [coverage.LARGE, 2])
+def test_bins_and_regions(spark, monkeypatch, large):
+    monkeypatch.setattr(coverage, "LARGE", large)
+    rows = made(13, 50, names=3, size=80)
+    want, inside = Counter(), Counter()
+    for held in columns(rows).values():
+        for a in held:
+            for b in held:
+                if a[1] == "s0.c0" and b[1].startswith("s1"):
+                    want[a[2] // 20] += 1
+                    inside[1, a[1], 10 <= a[2] < 40] += 1
+                    inside[2, b[1], 10 <= b[2] < 40] += 1
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.bin: r.value * 20 for r in coverage.pair_bins(df, "s0.c0", "s1*", 0, 79, 20).collect()} == pytest.approx({k: want[k] for k in range(4)})
+    bed = spark.createDataFrame([("s0.c0", 10, 40), ("s1.c1", 10, 40)], "name string, start long, stop long")
+    got = {(r.side, r.name): (r.in_region, r.out_region) for r in coverage.pair_regions(df, "s0.c0", "s1*", bed).collect()}
+    assert got == {(k, n): (inside[k, n, True], inside[k, n, False]) for k, n, _ in inside}
+
+
 def test_a_block_of_many_rows(spark):
     rows = [(1, i, f"s{i % 3}.c", i * 3, 3, "+", 40_000, "ACG-") for i in range(10_000)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -83,8 +102,9 @@ def test_a_block_of_many_rows(spark):
     assert got == pytest.approx({(f"s{a}", f"s{b}"): 3 * n[a] / 40_000 for a in n for b in n})
 
 
-@pytest.mark.parametrize("identity", [False, True])
-def test_depths(spark, identity):
+@pytest.mark.parametrize(("identity", "large"), [(False, coverage.LARGE), (True, coverage.LARGE), (False, 2), (True, 2)])
+def test_depths(spark, monkeypatch, identity, large):
+    monkeypatch.setattr(coverage, "LARGE", large)
     rows = made(3, 60, names=3, size=40)
     depth = Counter()
     for held in columns(rows).values():
