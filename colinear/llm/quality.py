@@ -124,7 +124,7 @@ def train(rows: list, posterior: dict[str, float]) -> np.ndarray:
     if not rows:
         return np.zeros(CELLS + 1, np.float32)
     cells, values = [np.frombuffer(r["cells"], np.int32) for r in rows], [np.frombuffer(r["cell_values"], np.float32) for r in rows]
-    cell, value = np.concatenate(cells), np.concatenate(values)
+    cell, value = np.concatenate(cells).astype(np.int64), np.concatenate(values).astype(np.float64)  # as bincount takes them
     doc = np.repeat(np.arange(len(rows)), [len(c) for c in cells])
     wanted, copies = np.array([posterior[r["votes"]] for r in rows]), np.array([r["copies"] for r in rows], float)
     copies /= copies.sum()
