@@ -76,13 +76,29 @@ class Segments:
         self.size = np.array([len(t) for t in texts], np.int64)
         self.end = np.cumsum(self.size)
         self.begin = self.end - self.size
-        found = [self._block(at) for at in range(0, len(self.data) - DEPTH + 1, BLOCK)]
+        found = [self._block(at, n) for at, n in self._blocks()]
         kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64)
         self.start, self.anchor, self.n, self.doc, self.gram, self.hash = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate(kinds))
 
-    def _block(self, at: int) -> tuple[np.ndarray, ...]:
-        data = self.data[at : at + BLOCK + DEPTH - 1]
-        n = len(data) - DEPTH + 1
+    def _blocks(self) -> Iterator[tuple[int, int]]:
+        """(place, windows) of the blocks: whole documents, or parts of a long one, cut by its own places alone.
+
+        So a document has the same segments whatever others it comes with.
+        """
+        at = 0
+        for begin, end in zip(self.begin.tolist(), self.end.tolist(), strict=True):
+            if end - at > BLOCK:
+                if begin - at >= DEPTH:
+                    yield at, begin - at - DEPTH + 1
+                at = begin
+                while end - at >= BLOCK + DEPTH:
+                    yield at, BLOCK
+                    at += BLOCK
+        if len(self.data) - at >= DEPTH:
+            yield at, len(self.data) - at - DEPTH + 1
+
+    def _block(self, at: int, n: int) -> tuple[np.ndarray, ...]:
+        data = self.data[at : at + n + DEPTH - 1]
         valid = np.ones(n, bool)  # a window that begins here ends inside its document
         for end in self.end[(self.end > at) & (self.end < at + len(data))].tolist():
             valid[max(end - DEPTH + 1 - at, 0) : end - at] = False

@@ -87,3 +87,17 @@ def test_query_columns(spark, tmp_path):
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and [t for _, t in got.dtypes] == ["bigint"] * 4 + ["string"]
     want = plain(made, [i for i, _ in made])
     assert sorted((str(r.doc_id), r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
+
+
+def test_segments_do_not_depend_on_company():
+    """A document has the same segments alone, behind others and before others, wherever blocks end."""
+    rng = random.Random(9)
+    sizes = [0, 50, 99, 100, 3_000, 200_000, 70_000, repeats.BLOCK, repeats.BLOCK + 99, repeats.BLOCK + 100, 2 * repeats.BLOCK + 250, 120, 40_000, 0, 230_000, 99, 3 * repeats.BLOCK]
+    texts = [rng.randbytes(n) for n in sizes]
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1), rng.sample(range(len(texts)), len(texts))):
+        both = repeats.Segments([texts[i] for i in order])
+        for k, i in enumerate(order):
+            alone, own = repeats.Segments([texts[i]]), both.doc == k
+            for a, b in ((alone.start, both.start[own] - both.begin[k]), (alone.n, both.n[own]), (alone.gram, both.gram[own]), (alone.hash, both.hash[own])):
+                assert (len(a) == len(b)) and (a == b).all()
+            assert alone.n.sum() == max(len(texts[i]) - 99, 0)
