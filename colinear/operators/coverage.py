@@ -6,7 +6,7 @@ instead of a join of cells. Positions are exploded only where bins, regions or d
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -27,6 +27,39 @@ def masks(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.where(F.length("text") > 0).select("block_id", "row_idx", *keep, parts.alias("chunk", "piece")).select("block_id", "row_idx", *keep, "chunk", bits(F.rpad("piece", CHUNK, "-")).alias("mask"))
 
 
+def strips(rows: DataFrame, *keep: str) -> DataFrame:
+    """(block_id, row_idx, keep..., chunk, piece, mask, first, sign): ``masks`` with the place of a chunk's first base and the step to the next."""
+    count = F.floor((F.length("text") - 1) / CHUNK).cast("int")
+    piece = F.transform(F.sequence(F.lit(0), count), lambda i: F.rpad(F.substring(F.col("text"), i * CHUNK + 1, F.lit(CHUNK)), CHUNK, "-"))
+    listed = F.transform("pieces", lambda x: F.struct(x.alias("piece"), bits(x).alias("mask")))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("at"))
+    seen = F.aggregate("listed", none, lambda acc, x: F.struct((acc["n"] + F.bit_count(x["mask"])).alias("n"), F.concat(acc["at"], F.array(acc["n"])).alias("at")))["at"]
+    each = rows.where(F.length("text") > 0).withColumn("pieces", piece).withColumn("listed", listed).withColumn("seen", seen)
+    sign = X.sign(F.col("strand")).cast("long")
+    first = X.pos_start(F.col("start"), F.col("strand"), F.col("source_length"))
+    out = each.select("block_id", "row_idx", *keep, first.alias("from"), sign.alias("sign"), F.posexplode(F.arrays_zip("listed", "seen")).alias("chunk", "x"))
+    return out.select("block_id", "row_idx", *keep, "chunk", F.col("x.listed.piece").alias("piece"), F.col("x.listed.mask").alias("mask"), (F.col("from") + F.col("sign") * F.col("x.seen")).cast("long").alias("first"), "sign")
+
+
+def met(strips_: DataFrame, of: list[str], other: list[str], when: str, shared: str = "own.mask & other.mask") -> DataFrame:
+    """(of..., o_other..., both, bit): the columns that every two rows of a block share, one row for each of them.
+
+    The rows of a block (LARGE at most) are gathered once as an array; nothing as large as the cells is moved.
+    """
+    together = Window.partitionBy("block_id", "chunk")
+    cols, others = (list(dict.fromkeys(["row_idx", "mask", *c])) for c in (of, other))
+    gathered = strips_.select("block_id", "chunk", *dict.fromkeys([*cols, *others])).withColumn("rows", F.collect_list(F.struct(*others)).over(together))
+    pair = gathered.select(F.struct(*cols).alias("own"), F.explode("rows").alias("other")).where(when).withColumn("both", F.expr(shared)).where("both <> 0")
+    every = F.explode(F.array(*[F.lit(i) for i in range(CHUNK)])).alias("bit")
+    flat = pair.select(*[F.col(f"own.{c}").alias(c) for c in of], *[F.col(f"other.{c}").alias(f"o_{c}") for c in other], "both", every)
+    return flat.where(f"shiftright(both, {CHUNK - 1} - bit) & 1 = 1")
+
+
+def place(first: str, sign: str, mask: str) -> Column:
+    """The place of the base in column ``bit`` of a strip."""
+    return F.expr(f"{first} + {sign} * bit_count(shiftright({mask}, {CHUNK} - bit))")
+
+
 def file_stats(lines: DataFrame) -> DataFrame:
     """One row: lines by type, blocks, characters, degrees and areas over all of a file's lines."""
     t = lambda c: F.sum((F.col("type") == c).cast("long"))
@@ -148,30 +181,31 @@ def genome_lengths(rows: DataFrame, by_species: bool = True) -> DataFrame:
 def coverage(rows: DataFrame, n_max: int = 1, identity: bool = False, by_species: bool = True) -> DataFrame:
     """(query, target, n, coverage): the share of the query genome's places with n or more aligned target bases.
 
-    Every genome is a query at once. In blocks of over LARGE rows the bases of a column are counted by genome (and base)
+    Every genome is a query at once. Rows of blocks of LARGE rows at most meet by masks, and their columns are counted by
+    place before they are moved. In larger blocks the bases of a column are counted by genome (and base)
     before they meet the query's cells, so a column of k rows costs k times its genomes; a row is taken off its own
-    genome's count. Depths are counted
-    by place before anything is joined to lengths and stop at 127.
+    genome's count. Depths stop at 127.
     """
     genome = X.species(F.col("name")) if by_species else F.col("name")
     by = ["block_id", "col", "base"] if identity else ["block_id", "col"]
-    met = None
-    for part, large in zip(_split(rows), (False, True), strict=True):
-        if part is None:
-            continue
-        c = cells(part).withColumns({"genome": genome, "base": F.upper("base")})
+    small, crowded = _split(rows)
+    strip = strips(small.select("block_id", "row_idx", "name", "start", "strand", "source_length", (F.upper("text") if identity else F.col("text")).alias("text"), genome.alias("genome")), "name", "genome")
+    same = ["piece"] if identity else []
+    pair = met(strip, ["name", "first", "sign", "mask", *same], ["genome", *same], "own.row_idx <> other.row_idx")
+    if identity:
+        pair = pair.where("substring(piece, bit + 1, 1) = substring(o_piece, bit + 1, 1) AND substring(piece, bit + 1, 1) <> 'N'")
+    found = pair.select(F.col("o_genome").alias("target"), F.col("name").alias("qname"), place("first", "sign", "mask").alias("qpos"), F.lit(1).cast("long").alias("n"))
+    if crowded is not None:
+        c = cells(crowded).withColumns({"genome": genome, "base": F.upper("base")})
         c = c.where("base <> 'N'") if identity else c
-        q = c.select(*by, F.col("row_idx").alias("rq"), F.col("genome").alias("query"), F.col("name").alias("qname"), F.col("pos").alias("qpos"))
-        if large:
-            t = c.groupBy(*by, F.col("genome").alias("target")).agg(F.count(F.lit(1)).alias("n"))
-            others = F.col("n") - (F.col("query") == F.col("target")).cast("long")
-            found = q.hint("merge").join(t, by).select("query", "target", "qname", "qpos", others.alias("n")).where("n > 0")
-        else:
-            t = c.select(*by, F.col("row_idx").alias("rt"), F.col("genome").alias("target"))
-            found = q.hint("merge").join(t, by).where("rq <> rt").select("query", "target", "qname", "qpos", F.lit(1).cast("long").alias("n"))
-        met = found if met is None else met.unionByName(found)
-    depth = met.groupBy("query", "target", "qname", "qpos").agg(F.least(F.sum("n"), F.lit(127)).alias("depth"))
-    levels = depth.select("query", "target", F.explode(F.sequence(F.lit(1).cast("long"), F.least("depth", F.lit(n_max)))).alias("n")).groupBy("query", "target", "n").agg(F.count(F.lit(1)).alias("places"))
+        q = c.select(*by, F.col("genome").alias("query"), F.col("name").alias("qname"), F.col("pos").alias("qpos"))
+        t = c.groupBy(*by, F.col("genome").alias("target")).agg(F.count(F.lit(1)).alias("n"))
+        others = F.col("n") - (F.col("query") == F.col("target")).cast("long")
+        found = found.unionByName(q.hint("merge").join(t, by).select("target", "qname", "qpos", others.alias("n")).where("n > 0"))
+    # Places are counted where their blocks are, before anything moves.
+    depth = found.groupBy("target", "qname", "qpos").agg(F.least(F.sum("n"), F.lit(127)).alias("depth"))
+    query = X.species(F.col("qname")) if by_species else F.col("qname")
+    levels = depth.select(query.alias("query"), "target", F.explode(F.sequence(F.lit(1).cast("long"), F.least("depth", F.lit(n_max)))).alias("n")).groupBy("query", "target", "n").agg(F.count(F.lit(1)).alias("places"))
     lengths = genome_lengths(rows, by_species)
     return levels.join(lengths.withColumnRenamed("genome", "query"), "query").select("query", "target", F.col("n").cast("long").alias("n"), (F.col("places").cast("double") / F.col("total")).alias("coverage"))
 
