@@ -12,7 +12,24 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["genome_coverage", "identity_coverage", "report_coverage", "n_coverage", "sequence_coverage"])
+@pytest.mark.parametrize("name", ["genome_coverage", "identity_coverage", "report_coverage", "n_coverage", "sequence_coverage", "homology_exact"])
 def test_cells_of_small_blocks_are_not_joined(spark, name):
     """Before, every cell was sent to a merge join by block and column, twice."""
     assert "strategy=merge" not in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("near", [0, 1])
+def test_pairs_meet_as_bits_of_tiles(spark, near):
+    """Before, every pair of both alignments was a row of its own and was joined with the other alignment's."""
+    from colinear.operators import compare
+    from colinear.plans.queries import alignment
+    from colinear.plans.synth import B
+
+    a, b = alignment(spark, SF).where("block_id < 800"), alignment(spark, SF, B).where("block_id < 800")
+    names = compare.numbered(compare.legit_names(a, b))
+    t = compare.tiles(a, b, names, near).persist()
+    every = [compare.pairs(x, names) for x in (a, b)]
+    assert "strategy=merge" not in plan(t) and t.count() * 3 < every[0].count()
+    for d, (x, y) in (("AB", every), ("BA", every[::-1])):
+        plain = compare.found(x, y, near)
+        assert sorted(map(tuple, compare.expanded(t, names, d, near).select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
