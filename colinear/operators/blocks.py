@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..sources.maf import cells
 from ..sources.shared import stored
+from .coverage import _split
 
 
 def block():  # noqa: ANN201
@@ -168,8 +169,8 @@ BITS_OF_THREE = 0.41503749927884  # what a code of three bases tells
 CODE_OF = ("N", "A", "C", "M", "G", "R", "S", "V", "T", "W", "Y", "H", "K", "D", "B", "N")
 
 
-def consensus(rows: DataFrame) -> DataFrame:
-    """(block_id, col, code): the bases most frequent below the first row; N if N leads, or all four, or none."""
+def _codes(rows: DataFrame) -> DataFrame:
+    """(block_id, col, code): ``consensus`` of rows as they are dealt."""
     each = rows.select("block_id", "row_idx", F.posexplode(F.split(F.upper("text"), "")).alias("col", "base")).where("base <> ''")
     counts = each.groupBy("block_id", "col").agg(*[F.sum(((F.col("base") == b) & (F.col("row_idx") > 0)).cast("long")).alias(f"n_{b}") for b in "ACGTN"])
     most = F.greatest(*[F.col(f"n_{b}") for b in "ACGTN"])
@@ -178,13 +179,18 @@ def consensus(rows: DataFrame) -> DataFrame:
     return counts.select("block_id", F.col("col").cast("long").alias("col"), code.alias("code"))
 
 
-def duplicate_scores(rows: DataFrame) -> DataFrame:
-    """(block_id, row_idx, score) of rows whose species occurs again in the block: agreement with the consensus in bits."""
-    own = rows.withColumn("species", X.species(F.col("name")))
-    n = F.count(F.lit(1)).over(Window.partitionBy("block_id", "species"))
-    dup = own.withColumn("n", n).where("n > 1").select("block_id", "row_idx", "species", "text")
-    touched = rows.join(dup.select("block_id").distinct(), "block_id", "left_semi")
-    each = dup.select("block_id", "row_idx", "species", F.posexplode(F.split(F.upper("text"), "")).alias("col", "base")).where("base <> ''").withColumn("col", F.col("col").cast("long"))
+def consensus(rows: DataFrame) -> DataFrame:
+    """(block_id, col, code): the bases most frequent below the first row; N if N leads, or all four, or none.
+
+    Rows are dealt by their block and counted there; columns of blocks of over LARGE rows are counted before they are moved.
+    """
+    small, crowded = _split(rows)
+    codes = _codes(small.repartition("block_id"))
+    return codes if crowded is None else codes.unionByName(_codes(crowded))
+
+
+def _score() -> Column:
+    """What a base tells of a code that allows it, in bits."""
     held = [[c for i, c in enumerate("ACGT") if m >> i & 1] for m in range(16)]
     score = F.lit(0.0)
     for m, bases_ in enumerate(held):
@@ -195,7 +201,33 @@ def duplicate_scores(rows: DataFrame) -> DataFrame:
         elif len(bases_) == 3:
             out = next(c for c in "ACGT" if c not in bases_)
             score = F.when((F.col("code") == CODE_OF[m]) & (F.col("base") != out), BITS_OF_THREE).otherwise(score)
-    return each.hint("merge").join(consensus(touched), ["block_id", "col"]).groupBy("block_id", "row_idx", "species").agg(F.sum(score).alias("score"))
+    return score
+
+
+def _scores_by_block(rows: DataFrame) -> DataFrame:
+    """``duplicate_scores`` where rows are dealt by their block once and each block's codes are one text that its rows meet."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("block_id", "species"))
+    own = rows.select("block_id", "row_idx", X.species(F.col("name")).alias("species"), "text").repartition("block_id").withColumn("n", n)
+    touched = own.withColumn("most", F.max("n").over(block())).where("most > 1")
+    listed = F.array_sort(F.collect_list(F.struct("col", "code")))
+    codes = _codes(touched).groupBy("block_id").agg(F.transform(listed, lambda x: x["code"]).alias("codes"))
+    pair = touched.where("n > 1").join(codes.hint("merge"), "block_id").select("block_id", "row_idx", "species", F.explode(F.arrays_zip(F.split(F.upper("text"), "").alias("base"), F.col("codes").alias("code"))).alias("x"))
+    each = pair.select("block_id", "row_idx", "species", F.col("x.base").alias("base"), F.col("x.code").alias("code")).where("base <> ''")
+    return each.groupBy("block_id", "row_idx", "species").agg(F.sum(_score()).alias("score"))
+
+
+def duplicate_scores(rows: DataFrame) -> DataFrame:
+    """(block_id, row_idx, score) of rows whose species occurs again in the block: agreement with the consensus in bits."""
+    small, crowded = _split(rows)
+    scores = _scores_by_block(small)
+    if crowded is None:
+        return scores
+    own = crowded.withColumn("species", X.species(F.col("name")))
+    n = F.count(F.lit(1)).over(Window.partitionBy("block_id", "species"))
+    dup = own.withColumn("n", n).where("n > 1").select("block_id", "row_idx", "species", "text")
+    touched = crowded.join(dup.select("block_id").distinct(), "block_id", "left_semi")
+    each = dup.select("block_id", "row_idx", "species", F.posexplode(F.split(F.upper("text"), "")).alias("col", "base")).where("base <> ''").withColumn("col", F.col("col").cast("long"))
+    return scores.unionByName(each.hint("merge").join(_codes(touched), ["block_id", "col"]).groupBy("block_id", "row_idx", "species").agg(F.sum(_score()).alias("score")))
 
 
 def filter_duplicates(rows: DataFrame) -> DataFrame:

@@ -33,3 +33,23 @@ def test_pairs_meet_as_bits_of_tiles(spark, near):
     for d, (x, y) in (("AB", every), ("BA", every[::-1])):
         plain = compare.found(x, y, near)
         assert sorted(map(tuple, compare.expanded(t, names, d, near).select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
+@pytest.mark.parametrize("name", ["dup_filter"])
+def test_columns_of_small_blocks_are_counted_where_rows_are(spark, name):
+    """Before, the cells of a block were dealt out by column."""
+    import re
+
+    assert not re.search(r"hashpartitioning\(block_id#\d+L?, col#", QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_scores_of_small_and_large_blocks_agree(spark, monkeypatch):
+    from colinear.operators import blocks, coverage
+    from colinear.plans.queries import alignment
+
+    rows = alignment(spark, SF).where("block_id < 400")
+    got = []
+    for large in (coverage.LARGE, 2):
+        monkeypatch.setattr(coverage, "LARGE", large)
+        got.append(sorted((r[0], r[1], r[2], round(r[3], 9)) for r in blocks.duplicate_scores(rows).collect()))
+    assert got[0] == got[1] and len(got[0]) > 100
