@@ -35,7 +35,7 @@ def test_pairs_meet_as_bits_of_tiles(spark, near):
         assert sorted(map(tuple, compare.expanded(t, names, d, near).select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
 
 
-@pytest.mark.parametrize("name", ["dup_filter"])
+@pytest.mark.parametrize("name", ["dup_filter", "column_consensus"])
 def test_columns_of_small_blocks_are_counted_where_rows_are(spark, name):
     """Before, the cells of a block were dealt out by column."""
     import re
