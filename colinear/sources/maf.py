@@ -79,19 +79,26 @@ def parse_each(files: DataFrame) -> DataFrame:
     return _fields(each.selectExpr("path", "block_id", "x.i AS line_idx", "x.raw AS raw"))
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Files are cut by byte ranges as any text source, so one file is read by many tasks; ranges are the parts that are numbered."""
+def read_lines(spark: SparkSession, path: str | list[str], one: bool = False) -> DataFrame:
+    """Files are cut by byte ranges as any text source, so one file is read by many tasks; ranges are the parts that are numbered.
+
+    If ``one``, the files of a folder are one file, cut between lines, in the order of their names; its path is the folder's.
+    """
     text = spark.read.option("lineSep", "\n").text(path)
-    return _fields(_numbered(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))))
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    where = [F.lit(path).alias("path"), F.struct(file.alias("file"), start.alias("start")).alias("part")] if one else [file.alias("path"), start.alias("part")]
+    return _fields(_numbered(text.select(*where, F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))))
 
 
 def rows(lines: DataFrame) -> DataFrame:
     """The aligned rows. A row whose numbers or strand cannot be read is an error."""
     keys = [c for c in ("path", "block_id") if c in lines.columns]
-    s = lines.where("type = 's'").withColumn("row_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("line_idx")).cast("long") - 1)
     bad = F.col("start").isNull() | F.col("length").isNull() | F.col("source_length").isNull() | ~F.coalesce(F.col("strand").isin("+", "-"), F.lit(False)) | (F.col("start") < 0)
     checked = F.when(bad, F.raise_error(F.concat(F.lit("unreadable row: "), F.col("raw"))).cast("string")).otherwise(F.col("name"))
-    return s.select(*keys, "row_idx", checked.alias("name"), "start", "length", "strand", "source_length", "text")
+    # Rows are checked before they are dealt by block, so their raw lines stay behind.
+    s = lines.where("type = 's'").select(*keys, "line_idx", checked.alias("name"), *FIELDS[1:])
+    row_idx = F.row_number().over(Window.partitionBy(*keys).orderBy("line_idx")).cast("long") - 1
+    return s.withColumn("row_idx", row_idx).select(*keys, "row_idx", *FIELDS)
 
 
 def cells(aligned: DataFrame) -> DataFrame:

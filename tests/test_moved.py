@@ -53,3 +53,16 @@ def test_scores_of_small_and_large_blocks_agree(spark, monkeypatch):
         monkeypatch.setattr(coverage, "LARGE", large)
         got.append(sorted((r[0], r[1], r[2], round(r[3], 9)) for r in blocks.duplicate_scores(rows).collect()))
     assert got[0] == got[1] and len(got[0]) > 100
+
+
+def test_files_of_a_folder_as_one(spark, tmp_path):
+    """Before, a file whose lines are numbered through had to be written by one task."""
+    from colinear.sources import maf
+
+    (tmp_path / "d").mkdir()
+    text = ["##maf version=1\n\n", "a score=0\ns x.c 0 1 + 9 A\n\n", "a score=1\ns x.c 1 1 + 9 C\ns y.c 1 1 + 9 C\n\n"]
+    for i, part in enumerate(text):
+        (tmp_path / "d" / f"part-{i}").write_text(part)
+    (tmp_path / "whole").write_text("".join(text))
+    got = [sorted(tuple(r) for r in x.select("block_id", "line_no", "raw").collect()) for x in (maf.read_lines(spark, str(tmp_path / "d"), one=True), maf.read_lines(spark, str(tmp_path / "whole")))]
+    assert got[0] == got[1] and len(got[0]) == 6
