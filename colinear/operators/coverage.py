@@ -41,7 +41,7 @@ def strips(rows: DataFrame, *keep: str) -> DataFrame:
     return out.select("block_id", "row_idx", *keep, "chunk", F.col("x.listed.piece").alias("piece"), F.col("x.listed.mask").alias("mask"), (F.col("from") + F.col("sign") * F.col("x.seen")).cast("long").alias("first"), "sign")
 
 
-def met(strips_: DataFrame, of: list[str], other: list[str], when: str, shared: str = "own.mask & other.mask") -> DataFrame:
+def met(strips_: DataFrame, of: list[str], other: list[str], when: str | Column, shared: str = "own.mask & other.mask") -> DataFrame:
     """(of..., o_other..., both, bit): the columns that every two rows of a block share, one row for each of them.
 
     The rows of a block (LARGE at most) are gathered once as an array; nothing as large as the cells is moved.
@@ -133,14 +133,13 @@ def aligned_places(rows: DataFrame, seq1: str, seq2: str) -> DataFrame:
 
     In blocks of over LARGE rows the bases of seq2's rows are counted by column and name first.
     """
-    out = None
-    for part, large in zip(_split(rows.where(X.wildcard(F.col("name"), seq1) | X.wildcard(F.col("name"), seq2))), (False, True), strict=True):
-        if part is not None:
-            one = cells(part.where(X.wildcard(F.col("name"), seq1))).select("block_id", "col", F.col("name").alias("name1"), F.col("pos").alias("pos1"))
-            other = part.where(X.wildcard(F.col("name"), seq2))
-            two = column_counts(other, "name") if large else cells(other).select("block_id", "col", "name", F.lit(1).cast("long").alias("n"))
-            met = one.hint("merge").join(two.withColumnRenamed("name", "name2"), ["block_id", "col"]).select("name1", "pos1", "name2", "n")
-            out = met if out is None else out.unionByName(met)
+    small, crowded = _split(rows.where(X.wildcard(F.col("name"), seq1) | X.wildcard(F.col("name"), seq2)))
+    pair = met(strips(small, "name"), ["name", "first", "sign", "mask"], ["name"], X.wildcard(F.col("own.name"), seq1) & X.wildcard(F.col("other.name"), seq2))
+    out = pair.select(F.col("name").alias("name1"), place("first", "sign", "mask").alias("pos1"), F.col("o_name").alias("name2"), F.lit(1).cast("long").alias("n"))
+    if crowded is not None:
+        one = cells(crowded.where(X.wildcard(F.col("name"), seq1))).select("block_id", "col", F.col("name").alias("name1"), F.col("pos").alias("pos1"))
+        two = column_counts(crowded.where(X.wildcard(F.col("name"), seq2)), "name").withColumnRenamed("name", "name2")
+        out = out.unionByName(one.hint("merge").join(two, ["block_id", "col"]).select("name1", "pos1", "name2", "n"))
     return out
 
 

@@ -12,7 +12,7 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["genome_coverage", "identity_coverage", "report_coverage", "n_coverage", "sequence_coverage", "homology_exact", "homology_rollup", "homology_bed", "homology_near", "homology_both_ways", "wiggle_bins"])
+@pytest.mark.parametrize("name", ["genome_coverage", "identity_coverage", "report_coverage", "n_coverage", "sequence_coverage", "pair_coverage_bed", "homology_exact", "homology_rollup", "homology_bed", "homology_near", "homology_both_ways", "wiggle_bins"])
 def test_cells_of_small_blocks_are_not_joined(spark, name):
     """Before, every cell was sent to a merge join by block and column, twice."""
     assert "strategy=merge" not in plan(QUERIES[name](spark, SF))
