@@ -27,8 +27,10 @@ def duplicate_columns(rows: DataFrame) -> DataFrame:
 
 def inconsistent_bases(rows: DataFrame) -> DataFrame:
     """(name, pos) where rows disagree about the base on the + strand; N says nothing."""
-    base = F.upper(F.when(F.col("strand") == "+", F.col("base")).otherwise(X.reverse_complement(F.col("base"))))
-    return cells(rows).select("name", "pos", base.alias("b")).where("b <> 'N'").groupBy("name", "pos").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high").select("name", "pos")
+    plus = F.upper(F.when(F.col("strand") == "+", F.col("text")).otherwise(X.reverse_complement(F.reverse("text"))))
+    # Numbers of characters, not strings, so that minima are hashed and not sorted.
+    each = cells(rows.withColumn("text", plus)).where("base <> 'N'").select("name", "pos", F.ascii("base").alias("b"))
+    return each.groupBy("name", "pos").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high").select("name", "pos")
 
 
 def source_lengths(rows: DataFrame) -> DataFrame:

@@ -66,3 +66,8 @@ def test_files_of_a_folder_as_one(spark, tmp_path):
     (tmp_path / "whole").write_text("".join(text))
     got = [sorted(tuple(r) for r in x.select("block_id", "line_no", "raw").collect()) for x in (maf.read_lines(spark, str(tmp_path / "d"), one=True), maf.read_lines(spark, str(tmp_path / "whole")))]
     assert got[0] == got[1] and len(got[0]) == 6
+
+
+def test_bases_are_compared_as_numbers(spark):
+    """Before, strings were compared, for which Spark sorts all cells."""
+    assert "SortAggregate" not in QUERIES["validate_consistency"](spark, SF)._jdf.queryExecution().executedPlan().toString()
