@@ -71,3 +71,44 @@ def test_files_of_a_folder_as_one(spark, tmp_path):
 def test_bases_are_compared_as_numbers(spark):
     """Before, strings were compared, for which Spark sorts all cells."""
     assert "SortAggregate" not in QUERIES["validate_consistency"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_small_blocks_are_not_dealt_out(spark, monkeypatch):
+    """Before, every cell was dealt out by block and column, and all edges were kept and joined in each step."""
+    from colinear.operators import closure, coverage
+    from colinear.plans.queries import alignment
+
+    rows = alignment(spark, SF).where("block_id < 300")
+    names = closure.numbered(rows)
+    got = []
+    for large in (coverage.LARGE, 2):
+        monkeypatch.setattr(coverage, "LARGE", large)
+        edges = closure.star_edges(rows, names)
+        got.append((sorted(map(tuple, edges.distinct().collect())), "strategy=merge" in plan(edges)))
+    assert [x[1] for x in got] == [False, True] and got[0][0] == got[1][0] and len(got[0][0]) > 1000
+
+
+def test_components_keep_no_edges(spark, monkeypatch):
+    """Labels are those of the plain spreading of labels along edges, in components with and without contradictions."""
+    import random
+
+    from colinear.operators import closure
+
+    rnd = random.Random(3)
+    edges = [(g * 1000 + rnd.randrange(30), g * 1000 + rnd.randrange(30), int(rnd.random() < 0.3)) for g in range(8) for _ in range(25)]
+    edges += [(9000 + i, 9001 + i, i % 2) for i in range(40)]
+    directed = [*edges, *[(b, a, t) for a, b, t in edges]]
+    labels = {a: a << 1 for a, _, _ in directed}
+    while True:
+        near = dict(labels)
+        for a, b, t in directed:
+            near[a] = min(near[a], labels[b] ^ t)
+        step = {v: min(x, labels[x >> 1] ^ (x & 1)) for v, x in near.items()}
+        if step == labels:
+            break
+        labels = step
+    df = spark.createDataFrame(edges, "a long, b long, turned long")
+    sizes, keep = [], closure.stored
+    monkeypatch.setattr(closure, "stored", lambda x, **k: (lambda y: (sizes.append(y.count()), y)[1])(keep(x, **k)))
+    assert {r.v: (r.label << 1) + r.turn for r in closure.components(df).collect()} == labels
+    assert max(sizes) <= len(labels)
