@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..sources.maf import cells, read_lines
+from ..sources.maf import cells, numbered_lines, placed_text, with_fields
+from ..sources.shared import stored
 
 TILE = 1 << 20  # places of a sequence in one task
 
@@ -73,36 +74,43 @@ def validate(lines: DataFrame, chrom_names: bool = False, ignore_duplicates: boo
     s, i, e, q, a = (F.col("type") == c for c in "sieqa")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = lines.withColumns({"before": F.lag("raw").over(order), "opened": F.max(a.cast("int")).over(so_far), "wide": F.max(F.when(s, F.length("text"))).over(every)})
-    above = F.split(F.trim("before"), r"[ \t]+")
-    same_source = F.coalesce((F.get(above, F.lit(0)) == "s") & (F.get(above, F.lit(1)) == at(1)), F.lit(False))
     whole = lambda c: F.coalesce(c.rlike("^[0-9]+$"), F.lit(False))
     status = lambda c, allowed: F.coalesce(c.isin(*allowed), F.lit(False))
-    i_ok = (n == 6) & same_source & whole(at(3)) & whole(at(5)) & status(at(2), "CINnMT") & status(at(4), "CINnMT") & ((at(2) != "I") | (number(3) > 0)) & ((at(4) != "I") | (number(5) > 0))
+    i_ok = (n == 6) & whole(at(3)) & whole(at(5)) & status(at(2), "CINnMT") & status(at(4), "CINnMT") & ((at(2) != "I") | (number(3) > 0)) & ((at(4) != "I") | (number(5) > 0))
     e_ok = (n == 7) & whole(at(2)) & whole(at(3)) & whole(at(5)) & status(at(4), "+-") & status(at(6), "CIMn")
-    q_ok = (n == 3) & same_source & F.coalesce(at(2).rlike("^[0-9F-]+$"), F.lit(False))
+    q_ok = (n == 3) & F.coalesce(at(2).rlike("^[0-9F-]+$"), F.lit(False))
     good = s & (n == 7)
     below = lambda i: F.coalesce(number(i), F.lit(-1)) < 0
     rules = {
         "KeyValuePair": a & ~_pairs_hold(F.col("raw")),
-        "MissingAlignmentBlockLine": (s | i | e | q) & (F.coalesce("opened", F.lit(0)) == 0),
         "FieldNumber": s & (n != 7),
         "StrandCharacter": good & ~status(at(4), "+-"),
-        "AlignmentLength": s & (((n == 7) & (F.coalesce(number(3), F.lit(-1)) != X.bases(at(6)))) | F.coalesce(F.length("text") != F.col("wide"), F.lit(False))),
         "StartField": good & below(2),
         "SourceSizeField": good & below(5),
         "OutOfRange": good & (number(2) + number(3) > number(5)),
-        "ILine": i & ~F.coalesce(i_ok, F.lit(False)),
         "ELine": e & ~F.coalesce(e_ok, F.lit(False)),
-        "QLine": q & ~F.coalesce(q_ok, F.lit(False)),
     }
     if chrom_names:
         rules["SpeciesField"] = good & ~F.coalesce(F.col("name").rlike(r"^(.+?)\.(chr.+)"), F.lit(False))
-    broken = F.filter(F.array(*[F.when(when, F.lit(rule)) for rule, when in rules.items()]), lambda r: r.isNotNull())
-    out = x.select("path", "line_no", F.explode(broken).alias("rule"), F.col("raw").alias("message"))
+    listed = lambda r: F.filter(F.array(*[F.when(when, F.lit(rule)) for rule, when in r.items()]), lambda x: x.isNotNull())
+    # What a line says by itself is told before lines are dealt by block, so that their text goes along only if messages are asked for.
+    own = lines.select(
+        "path", "block_id", "line_idx", "line_no", "type", F.col("raw").alias("message"), at(0).alias("word"), at(1).alias("source"), F.length("text").alias("size"), listed(rules).alias("broken"),
+        F.coalesce(F.when(i, i_ok).when(q, q_ok), F.lit(False)).alias("fine"), (s & (n == 7) & (F.coalesce(number(3), F.lit(-1)) != X.bases(at(6)))).alias("uneven"),
+    )
+    x = own.withColumns({"above": F.lag(F.struct("word", "source")).over(order), "opened": F.max(a.cast("int")).over(so_far), "wide": F.max(F.when(s, F.col("size"))).over(every)})
+    same_source = F.coalesce((F.col("above.word") == "s") & (F.col("above.source") == F.col("source")), F.lit(False))
+    near = {
+        "MissingAlignmentBlockLine": (s | i | e | q) & (F.coalesce("opened", F.lit(0)) == 0),
+        "AlignmentLength": s & (F.coalesce("uneven", F.lit(False)) | F.coalesce(F.col("size") != F.col("wide"), F.lit(False))),
+        "ILine": i & ~(F.col("fine") & same_source),
+        "QLine": q & ~(F.col("fine") & same_source),
+    }
+    out = x.select("path", "line_no", F.explode(F.concat("broken", listed(near))).alias("rule"), "message")
     # A name's first length counts; only names with several are looked at again.
     length = lines.where(s & F.col("source_length").isNotNull()).groupBy("path", "name").agg(F.min_by("source_length", "line_idx").alias("size"), F.min("source_length").alias("low"), F.max("source_length").alias("high")).where("low <> high")
-    other = lines.where(s).join(length.select("path", "name", "size"), ["path", "name"]).where("source_length <> size")
+    # Stored, so that their size tells whether they are sent to the lines, few as names mostly are.
+    other = lines.where(s).join(stored(length.select("path", "name", "size")), ["path", "name"]).where("source_length <> size")
     out = out.unionByName(other.select("path", "line_no", F.lit("SourceLength").alias("rule"), F.col("raw").alias("message")))
     out = out.unionByName(headers(lines).select("path", F.lit(1).cast("long").alias("line_no"), F.lit("Header").alias("rule"), F.lit("no ##maf line with a version").alias("message")))
     strict = lines.where(s & (F.col("n_fields") == 7) & status(F.col("strand"), "+-") & (F.col("start") >= 0) & F.col("length").isNotNull() & F.col("source_length").isNotNull()).withColumn("row_idx", F.col("line_no"))
@@ -131,11 +139,13 @@ def empty_files(spark: SparkSession, path: str) -> list[str]:
     return found
 
 
-def endings(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
+def endings(spark: SparkSession, path: str, lines: DataFrame, one: bool = False) -> DataFrame:
     """EmptyInput and Footer: files without a byte, and files whose last line is neither blank nor a comment outside all blocks."""
-    rows = [(file, 0, "EmptyInput", "the file is empty") for file in empty_files(spark, path)]
+    text = placed_text(spark, path, one)
+    none = empty_files(spark, path) if not one else [] if text.limit(1).count() else [path]
+    rows = [(file, 0, "EmptyInput", "the file is empty") for file in none]
     empty = spark.createDataFrame(rows, "path string, line_no long, rule string, message string")
-    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at")).alias("at"), F.trim(F.regexp_replace("value", "\r", "")).alias("value"))
+    text = text.select("path", F.struct("part", "at").alias("at"), F.trim(F.regexp_replace("raw", "\r", "")).alias("value"))
     last = text.groupBy("path").agg(F.max_by("value", "at").alias("last")).where("last <> ''")
     # Its last line that is not blank is the file's last: it stands in a block if an a line does before it in that block.
     block = lines.groupBy("path", "block_id").agg(F.max("line_no").alias("line_no"), F.max((F.col("type") == "a").cast("int")).alias("opened"))
@@ -144,10 +154,13 @@ def endings(spark: SparkSession, path: str, lines: DataFrame) -> DataFrame:
     return empty.unionByName(bad.select("path", F.col("e.line_no").alias("line_no"), F.lit("Footer").alias("rule"), F.col("last").alias("message")))
 
 
-def validate_files(spark: SparkSession, path: str, **options: bool) -> DataFrame:
-    """All violations of the files of a path, those of whole files included."""
-    lines = read_lines(spark, path)
-    return validate(lines, **options).unionByName(endings(spark, path, lines))
+def validate_files(spark: SparkSession, path: str, one: bool = False, **options: bool) -> DataFrame:
+    """All violations of the files of a path, those of whole files included. If ``one``, the files of a folder are one file.
+
+    Numbered lines are stored, as each rule that is not of one line and its neighbours reads them again.
+    """
+    lines = with_fields(stored(numbered_lines(spark, path, one)))
+    return validate(lines, **options).unionByName(endings(spark, path, lines, one))
 
 
 def first_error(violations: DataFrame) -> str | None:

@@ -14,7 +14,7 @@ from ..functions import exprs as X
 FIELDS = ("name", "start", "length", "strand", "source_length", "text")
 
 
-def _fields(lines: DataFrame) -> DataFrame:
+def with_fields(lines: DataFrame) -> DataFrame:
     """The columns of ``lines`` from (path, block_id, line_idx, raw)."""
     is_s = F.col("type") == "s"
 
@@ -35,35 +35,39 @@ def _numbered(lines: DataFrame) -> DataFrame:
     A line opens a block if it is not blank and follows a blank one, or if it is the first a line and nothing blank came
     before it; what precedes is the header, block 0. Blocks are counted through all files in the order of their paths, so
     a block_id other than 0 is of one block. Windows reach over one part. Between parts only one row for each part is
-    ordered: its number of lines, whether its last line is blank and where its first blank or a line stands.
+    ordered: its numbers of lines and openings, whether its last line is blank and where its first blank or a line stands.
+    All this is told in one pass without the lines' text, which is dealt out once.
     """
     lines = lines.withColumn("raw", F.regexp_replace("raw", "\r", ""))
     own = Window.partitionBy("path", "part").orderBy("at")
     blank = F.trim(F.regexp_replace("raw", r"\s+", " ")) == ""
     told = lines.withColumns({"blank": blank, "mark": blank | F.col("raw").startswith("a"), "k": F.row_number().over(own).cast("long") - 1, "before": F.lag(blank).over(own)})
-    last = F.max_by("blank", "k").alias("last")
-    parts = told.groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"), last, F.min(F.when(F.col("mark"), F.col("k"))).alias("marked"))
+    # A part's openings are those after its blank lines and one more: its first mark, or its first line by what came before.
+    parts = told.groupBy("path", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("blank", "k").alias("last"), F.min_by("blank", "k").alias("first"), F.min(F.when(F.col("mark"), F.col("k"))).alias("marked"),
+        F.min_by("blank", F.when(F.col("mark"), F.col("k"))).alias("marks_blank"), F.sum((~F.col("blank") & F.coalesce("before", F.lit(False))).cast("long")).alias("after"),
+    )
     order = Window.partitionBy("path").orderBy("part")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(
         "path", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"), F.lag("last").over(order).alias("carried"),
-        "marked", F.coalesce(F.count("marked").over(earlier) > 0, F.lit(False)).alias("in_body"),
+        "marked", F.coalesce(F.count("marked").over(earlier) > 0, F.lit(False)).alias("in_body"), "first", "marks_blank", "after",
     )
-    placed = told.join(parts, ["path", "part"])
+    more = F.when(F.col("in_body"), ~F.col("first") & F.coalesce("carried", F.lit(False))).otherwise(~F.coalesce("marks_blank", F.lit(True)))
+    every = Window.orderBy("path", "part").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.coalesce(F.sum(F.col("after") + more.cast("long")).over(every), F.lit(0))
+    placed = told.join(parts.select("path", "part", "offset", "carried", "marked", "in_body", base.alias("base")), ["path", "part"])
     first = ~F.col("in_body") & F.coalesce(F.col("k") == F.col("marked"), F.lit(False))
     body = F.col("in_body") | F.coalesce(F.col("k") >= F.col("marked"), F.lit(False))
     opens = ~F.col("blank") & body & (first | F.coalesce("before", "carried", F.lit(False)))
     placed = placed.withColumns({"body": body, "opens": opens.cast("long"), "line_idx": F.col("offset") + F.col("k")})
-    opened = placed.groupBy("path", "part").agg(F.sum("opens").alias("opened"))
-    every = Window.orderBy("path", "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = opened.select("path", "part", F.coalesce(F.sum("opened").over(every), F.lit(0)).alias("base"))
     block = F.when(F.col("body"), F.col("base") + F.sum("opens").over(own)).otherwise(0)
-    return placed.join(base, ["path", "part"]).withColumn("block_id", block).where("NOT blank").select("path", "block_id", "line_idx", "raw")
+    return placed.withColumn("block_id", block).where("NOT blank").select("path", "block_id", "line_idx", "raw")
 
 
 def parse_lines(files: DataFrame) -> DataFrame:
     """Lines of (path, value) rows, value being a whole file. Whitespace-only lines end a block and are dropped."""
-    return _fields(_numbered(files.select("path", F.lit(0).alias("part"), F.posexplode(F.split("value", "\n")).alias("at", "raw"))))
+    return with_fields(_numbered(files.select("path", F.lit(0).alias("part"), F.posexplode(F.split("value", "\n")).alias("at", "raw"))))
 
 
 def parse_each(files: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def parse_each(files: DataFrame) -> DataFrame:
     spans = "transform(opens, (o, k) -> named_struct('block', k + 1, 'from', cast(o AS int), 'to', cast(coalesce(get(opens, k + 1), size(l)) AS int)))"
     header = "array(named_struct('block', 0, 'from', 0, 'to', cast(least(body, size(l)) AS int)))"
     each = opening.selectExpr("path", "l", f"explode(concat({header}, {spans})) AS s").selectExpr("path", "s.block AS block_id", "explode(filter(slice(l, s.from + 1, s.to - s.from), x -> NOT x.b)) AS x")
-    return _fields(each.selectExpr("path", "block_id", "x.i AS line_idx", "x.raw AS raw"))
+    return with_fields(each.selectExpr("path", "block_id", "x.i AS line_idx", "x.raw AS raw"))
 
 
 def read_lines(spark: SparkSession, path: str | list[str], one: bool = False) -> DataFrame:
@@ -84,10 +88,20 @@ def read_lines(spark: SparkSession, path: str | list[str], one: bool = False) ->
 
     If ``one``, the files of a folder are one file, cut between lines, in the order of their names; its path is the folder's.
     """
+    return with_fields(numbered_lines(spark, path, one))
+
+
+def placed_text(spark: SparkSession, path: str | list[str], one: bool = False) -> DataFrame:
+    """(path, part, at, raw) of the lines of files: parts of a file in order, and the order of lines in a part."""
     text = spark.read.option("lineSep", "\n").text(path)
     file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     where = [F.lit(path).alias("path"), F.struct(file.alias("file"), start.alias("start")).alias("part")] if one else [file.alias("path"), start.alias("part")]
-    return _fields(_numbered(text.select(*where, F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))))
+    return text.select(*where, F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"))
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str], one: bool = False) -> DataFrame:
+    """(path, block_id, line_idx, raw) of the lines of ``read_lines``, without their fields."""
+    return _numbered(placed_text(spark, path, one))
 
 
 def rows(lines: DataFrame) -> DataFrame:

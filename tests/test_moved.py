@@ -112,3 +112,41 @@ def test_components_keep_no_edges(spark, monkeypatch):
     monkeypatch.setattr(closure, "stored", lambda x, **k: (lambda y: (sizes.append(y.count()), y)[1])(keep(x, **k)))
     assert {r.v: (r.label << 1) + r.turn for r in closure.components(df).collect()} == labels
     assert max(sizes) <= len(labels)
+
+
+def test_text_is_written_by_ranges_of_items(spark):
+    """Before, rows were dealt by block, and their text once more by ranges of blocks, or all of it to one task."""
+    from colinear.plans import texts
+
+    seen, keep = [], texts._written
+    try:
+        texts._written = lambda text, kind: (seen.append(text), keep(text, kind))[1]
+        for name in ("maf_lines", "validate_files"):
+            QUERIES[name](spark, SF)
+    finally:
+        texts._written = keep
+    for text in seen:
+        told = text._jdf.queryExecution().executedPlan().toString()
+        assert told.count("Exchange ") == 1 and "rangepartitioning(l_orderkey" in told and "Coalesce 1" not in told
+
+
+def test_numbering_deals_text_once(spark, tmp_path):
+    """Before, lines were told apart three times over, parts and openings each from all lines again."""
+    from colinear.sources import maf
+
+    (tmp_path / "x").write_text("a score=0\ns x.c 0 1 + 9 A\n")
+    told = maf.read_lines(spark, str(tmp_path / "x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("Relation [value") == 2
+
+
+def test_files_of_a_folder_are_validated_as_one(spark, tmp_path):
+    """Before, a file that was to be validated as a whole had to be written by one task."""
+    from colinear.operators import validate
+
+    (tmp_path / "d").mkdir()
+    parts = ["##maf version=1\n", "\na score=0\ns x.c 0 1 + 9 A\nq y.c 9\n", "", "s y.c 0 2 + 9 A\n", "\ns x.c 1 1 + 8 C\n\na score\ns y.c 1 1 + 9 C\ni y.c C 0 N 3\n", "\na score=0"]
+    for i, part in enumerate(parts):
+        (tmp_path / "d" / f"part-{i}").write_text(part)
+    (tmp_path / "whole").write_text("".join(parts))
+    got = [sorted((r.line_no, r.rule, r.message) for r in validate.validate_files(spark, str(tmp_path / x), one=one).collect()) for x, one in (("d", True), ("whole", False))]
+    assert got[0] == got[1] and {"QLine", "AlignmentLength", "MissingAlignmentBlockLine", "KeyValuePair", "SourceLength", "Footer", "ILine"} - {r for _, r, _ in got[0]} == {"ILine"}
