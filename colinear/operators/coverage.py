@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..sources.maf import cells
+from ..sources.shared import stored
 
 CHUNK = 62
 LARGE = 64  # rows of a block from which columns are counted by name instead of pairing rows
@@ -154,8 +155,11 @@ def pair_bins(rows: DataFrame, seq1: str, seq2: str, start: int, end: int, width
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, name: str = "name", pos: str = "pos", tile: int = 10_000) -> DataFrame:
-    """Points inside an interval (start <= pos < stop): an equi-join on the name and a tile of positions, so no name is a scan."""
-    spread = intervals.where("stop > start").select(F.col("name").alias("_n"), F.col("start").alias("_s"), F.col("stop").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("stop") - 1) / tile))).alias("_t"))
+    """Points inside an interval (start <= pos < stop): an equi-join on the name and a tile of positions, so no name is a scan.
+
+    Intervals are stored, so that their size tells whether they are sent to the points; only many have the points dealt out.
+    """
+    spread = stored(intervals.where("stop > start").select(F.col("name").alias("_n"), F.col("start").alias("_s"), F.col("stop").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("stop") - 1) / tile))).alias("_t")))
     cond = (F.col(name) == F.col("_n")) & (F.floor(F.col(pos) / tile) == F.col("_t")) & (F.col(pos) >= F.col("_s")) & (F.col(pos) < F.col("_e"))
     return points.join(spread, cond, "left_semi")
 

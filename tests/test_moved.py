@@ -150,3 +150,28 @@ def test_files_of_a_folder_are_validated_as_one(spark, tmp_path):
     (tmp_path / "whole").write_text("".join(parts))
     got = [sorted((r.line_no, r.rule, r.message) for r in validate.validate_files(spark, str(tmp_path / x), one=one).collect()) for x, one in (("d", True), ("whole", False))]
     assert got[0] == got[1] and {"QLine", "AlignmentLength", "MissingAlignmentBlockLine", "KeyValuePair", "SourceLength", "Footer", "ILine"} - {r for _, r, _ in got[0]} == {"ILine"}
+
+
+def test_few_intervals_are_sent_to_the_cells(spark):
+    """Before, nothing was known of the intervals' size when the join was planned, so all cells were dealt out unless it was changed while it ran."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        told = QUERIES["interval_join"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "SortMergeJoin" not in told and "BroadcastHashJoin" in told
+
+
+def test_pieces_are_joined_by_tiles_of_blocks(spark, monkeypatch):
+    """Before, all pieces of a species were listed, ordered and joined by one task."""
+    from colinear.operators import stitch
+    from colinear.plans.queries import alignment
+    from colinear.plans.texts import FILL, ONE
+
+    rows = spark.sql(ONE, rows=alignment(spark, SF))
+    fasta = rows.select("name").distinct().selectExpr("name", f"{FILL} AS seq")
+    got = []
+    for tile in (3, 1 << 40):
+        monkeypatch.setattr(stitch, "TEXT_TILE", tile)
+        got.append(sorted(map(tuple, stitch.stitch(rows, fasta, 6, 20).collect())))
+    assert got[0] == got[1] and len(got[0]) == 5
