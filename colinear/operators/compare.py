@@ -199,17 +199,53 @@ def tiles(a: DataFrame, b: DataFrame, names: DataFrame, near: int = 0) -> DataFr
     """
     size = 1 << SIDE
     both = _places(a, names).withColumn("s", F.lit(0)).unionByName(_places(b, names).withColumn("s", F.lit(1)))
-    own = F.lit(True)
-    if near:
-        steps = [(0, 0), *[s for k in range(1, near + 1) for s in ((k, 0), (-k, 0), (0, k), (0, -k))]]
-        both = both.select("k1", "pos1", "k2", "pos2", "s", F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in steps])).alias("d"))
-        both = both.select("k1", (F.col("pos1") + F.col("d.x")).alias("pos1"), "k2", (F.col("pos2") + F.col("d.y")).alias("pos2"), "s", (F.expr("d.x = 0 AND d.y = 0")).alias("own"))
-        own = F.col("own")
     at = F.expr(f"(pos1 & {size - 1}) * {size} + (pos2 & {size - 1})").cast("int")
-    cut = both.withColumn("at", at).select("k1", F.shiftright("pos1", SIDE).alias("t1"), "k2", F.shiftright("pos2", SIDE).alias("t2"), "s", own.alias("own"), F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("bit"))
-    word = lambda when, w: F.coalesce(F.bit_or(F.when(when & (F.col("word") == w), F.col("bit"))), F.lit(0).cast("long"))
-    kinds = [(f"{n}{side}", (F.col("s") == k) & (F.lit(True) if n else F.col("own"))) for k, side in enumerate("ab") for n in (("", "n") if near else ("",))]
-    return cut.groupBy("k1", "t1", "k2", "t2").agg(*[word(when, w).alias(f"{kind}{w}") for kind, when in kinds for w in WORDS])
+    cut = both.withColumn("at", at).select("k1", F.shiftright("pos1", SIDE).alias("t1"), "k2", F.shiftright("pos2", SIDE).alias("t2"), "s", F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, at & 63)").alias("bit"))
+    word = lambda k, w: F.coalesce(F.bit_or(F.when((F.col("s") == k) & (F.col("word") == w), F.col("bit"))), F.lit(0).cast("long"))
+    t = cut.groupBy("k1", "t1", "k2", "t2").agg(*[word(k, w).alias(f"{side}{w}") for k, side in enumerate("ab") for w in WORDS])
+    return _widened(t, near) if near else t
+
+
+def _widened(t: DataFrame, near: int) -> DataFrame:
+    """Tiles with na0.., nb0..: their bits moved by up to ``near`` places along either side, where they meet the next tiles' too.
+
+    Whole words are moved: a place of the first sequence is a quarter of a word, one of the second a bit in each quarter.
+    """
+    size, quarters = 1 << SIDE, 4
+    moved = []
+    for by in (d for k in range(1, near + 1) for d in (k, -k)):
+        for over in sorted({by // size, -(-by // size)}):
+            step = by - over * size  # what comes into the tile ``over`` tiles on
+            moved.append(((over, 0), [(side, w, _down(f"{side}", w, step, quarters)) for side in "ab" for w in WORDS]))
+            mask = sum(1 << j for j in range(size) if 0 <= j + step < size)
+            moved.append(((0, over), [(side, w, _along(f"{side}{w}", step, mask)) for side in "ab" for w in WORDS]))
+    zero, keep = [f"{side}{w}" for side in "ab" for w in WORDS], ["k1", "t1", "k2", "t2"]
+    parts = [F.struct(F.lit(0).alias("d1"), F.lit(0).alias("d2"), *[F.col(c).alias(c) for c in zero], *[F.col(c).alias(f"n{c}") for c in zero])]
+    for (d1, d2), words in moved:
+        parts.append(F.struct(F.lit(d1).alias("d1"), F.lit(d2).alias("d2"), *[F.lit(0).cast("long").alias(c) for c in zero], *[F.expr(e).alias(f"n{side}{w}") for side, w, e in words]))
+    some = " OR ".join(f"x.n{c} <> 0" for c in zero)
+    each = t.select(*keep, F.explode(F.array(*parts)).alias("x")).where(some)
+    each = each.select("k1", (F.col("t1") + F.col("x.d1")).alias("t1"), "k2", (F.col("t2") + F.col("x.d2")).alias("t2"), *[f"x.{c}" for c in zero], *[f"x.n{c}" for c in zero])
+    return each.groupBy(*keep).agg(*[F.bit_or(c).alias(c) for c in [*zero, *[f"n{c}" for c in zero]]])
+
+
+def _down(side: str, w: int, step: int, quarters: int) -> str:
+    """Word ``w`` of a tile whose places of the first sequence are moved by ``step``."""
+    bits, out = 64 // quarters, []
+    for q in range(quarters):
+        was = w * quarters + q - step
+        if 0 <= was < 1 << SIDE:
+            out.append(f"shiftleft(shiftrightunsigned({side}{was // quarters}, {bits * (was % quarters)}) & {(1 << bits) - 1}L, {bits * q})")
+    return " | ".join(out) or "0L"
+
+
+def _along(word: str, step: int, mask: int) -> str:
+    """A word whose places of the second sequence are moved by ``step``; those of ``mask`` stay inside."""
+    if not mask:
+        return "0L"
+    every = sum(mask << (1 << SIDE) * q for q in range(4))
+    held = f"({word} & {every - (1 << 64) if every >> 63 else every}L)"
+    return f"shiftleft({held}, {step})" if step >= 0 else f"shiftrightunsigned({held}, {-step})"
 
 
 DIRECTIONS = {"AB": ("a", "b"), "BA": ("b", "a")}
@@ -229,7 +265,7 @@ def counted(t: DataFrame, names: DataFrame, near: int = 0, intervals: DataFrame
     directions, counted as bits. The result is stored: it has a row for each two names."""
     regions_ = {"": lambda w, x: x}
     if intervals is not None:
-        held = _inside(intervals, names)
+        held = stored(_inside(intervals, names))
         for k in (1, 2):
             side = held.select(F.col("k").alias(f"k{k}"), F.col("t").alias(f"t{k}"), F.col("m").alias(f"m{k}"))
             t = t.join(side, [f"k{k}", f"t{k}"], "left").withColumn(f"m{k}", F.coalesce(f"m{k}", F.lit(0)).cast("long"))
@@ -262,13 +298,20 @@ def expanded(t: DataFrame, names: DataFrame, direction: str, near: int = 0) -> D
     return bit.select("seq1", F.expr(f"shiftleft(t1, {SIDE}) + shiftright({at}, {SIDE})").alias("pos1"), "seq2", F.expr(f"shiftleft(t2, {SIDE}) + (({at}) & {(1 << SIDE) - 1})").alias("pos2"), F.expr("shiftright(v.y, i) & 1 = 1").alias("hit"))
 
 
-def tested(a: DataFrame, b: DataFrame, near: int = 0, samples: int | None = None, seed: int = 0, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The pairs of a with ``hit`` in b, and those of b in a."""
+def tested(a: DataFrame, b: DataFrame, near: int = 0, samples: int | None = None, seed: int = 0, names: DataFrame | None = None, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pairs of a with ``hit`` in b, and those of b in a. If ``among`` (reference, partner) is given, an exhaustive comparison makes the pairs of these names alone."""
     names = legit_names(a, b) if names is None else names
     if samples is not None:
         return tuple(found_among(sampled_pairs(x, names, samples, seed), y, near) for x, y in ((a, b), (b, a)))
+    if among is not None:
+        names = names.join(among.select(F.explode(F.array("reference", "partner")).alias("name")).distinct(), "name", "left_semi")
     k = numbered(names)
-    t = stored(tiles(a, b, k, near))
+    t = tiles(a, b, k, near)
+    if among is not None:
+        one, two = (k.select(F.col("name").alias(n), F.col("k").alias(x)) for n, x in (("reference", "x"), ("partner", "y")))
+        wanted = among.join(one, "reference").join(two, "partner").select(F.least("x", "y").alias("k1"), F.greatest("x", "y").alias("k2")).distinct()
+        t = t.join(stored(wanted), ["k1", "k2"], "left_semi")
+    t = stored(t)
     return tuple(expanded(t, k, d, near) for d in DIRECTIONS)
 
 

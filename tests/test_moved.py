@@ -175,3 +175,33 @@ def test_pieces_are_joined_by_tiles_of_blocks(spark, monkeypatch):
         monkeypatch.setattr(stitch, "TEXT_TILE", tile)
         got.append(sorted(map(tuple, stitch.stitch(rows, fasta, 6, 20).collect())))
     assert got[0] == got[1] and len(got[0]) == 5
+
+
+@pytest.mark.parametrize("near", [2, 17])
+def test_near_pairs_are_moved_as_words(spark, near):
+    """Before, every pair was made once more for each place near it."""
+    from colinear.operators import compare
+    from colinear.plans.queries import alignment
+    from colinear.plans.synth import B
+
+    a, b = alignment(spark, SF).where("block_id < 60"), alignment(spark, SF, B).where("block_id < 60")
+    names = compare.numbered(compare.legit_names(a, b))
+    t = compare.tiles(a, b, names, near)
+    assert plan(t).count("Aggregate [k1") == 2
+    every = [compare.pairs(x, names) for x in (a, b)]
+    plain = compare.found(*every, near)
+    assert sorted(map(tuple, compare.expanded(t, names, "AB", near).select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_wiggles_make_pairs_of_their_names_alone(spark):
+    """Before, the pairs of all names were made and looked at one by one."""
+    from colinear.operators import compare
+    from colinear.plans.queries import alignment
+    from colinear.plans.synth import B
+
+    a, b = alignment(spark, SF).where("block_id < 400"), alignment(spark, SF, B).where("block_id < 400")
+    wanted = compare.wiggle_pairs(a.select("name", "source_length").distinct(), [("sp1.chr1", "sp2.*"), ("sp0.*", "sp3.chr0"), ("sp4.chr2", "sp4.chr2")])
+    few = compare.tested(a, b, among=wanted)
+    assert {(r.seq1, r.seq2) for x in few for r in x.select("seq1", "seq2").distinct().collect()} <= {tuple(sorted((r.reference, r.partner))) for r in wanted.collect()}
+    got = [sorted(map(tuple, compare.wiggles(*x, wanted, 100).collect())) for x in (few, compare.tested(a, b))]
+    assert got[0] == got[1] and sum(r[3] for r in got[0]) > 100
