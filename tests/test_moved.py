@@ -205,3 +205,31 @@ def test_wiggles_make_pairs_of_their_names_alone(spark):
     assert {(r.seq1, r.seq2) for x in few for r in x.select("seq1", "seq2").distinct().collect()} <= {tuple(sorted((r.reference, r.partner))) for r in wanted.collect()}
     got = [sorted(map(tuple, compare.wiggles(*x, wanted, 100).collect())) for x in (few, compare.tested(a, b))]
     assert got[0] == got[1] and sum(r[3] for r in got[0]) > 100
+
+
+def dealt(df):
+    """What the plan deals by, and whether texts are dealt."""
+    import re
+
+    told = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"Exchange hashpartitioning\(([^()]*), \d+\)", re.sub(r"#\d+L?", "", told)), told
+
+
+@pytest.mark.parametrize("name", ["genome_coverage", "n_coverage", "identity_coverage", "report_coverage", "sequence_coverage", "column_consensus"])
+def test_items_are_dealt_before_they_have_texts(spark, name):
+    """Before, rows were dealt with their texts to be numbered, and once more by block (and chunk)."""
+    by, told = dealt(QUERIES[name](spark, SF))
+    assert [x for x in by if x.startswith(("block_id", "l_orderkey"))] == ["block_id"]
+    assert told.index("md5(") < told.index("Exchange hashpartitioning(block_id")  # above the exchange
+
+
+def test_items_of_both_alignments_are_dealt_before_they_have_texts(spark):
+    """Before, each alignment's rows were dealt twice, and nothing of the second could be taken from the first."""
+    from colinear.operators import compare
+    from colinear.plans.queries import alignment
+    from colinear.plans.synth import B
+
+    a, b = alignment(spark, SF), alignment(spark, SF, B)
+    t = compare.tiles(a, b, compare.numbered(compare.legit_names(a, b)))
+    by, _ = dealt(t)
+    assert [x for x in by if x.startswith(("block_id", "l_orderkey"))] == ["block_id"] * 2
