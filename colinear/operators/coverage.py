@@ -6,6 +6,8 @@ instead of a join of cells. Positions are exploded only where bins, regions or d
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..sources.maf import cells
 from ..sources.shared import stored
 
 CHUNK = 62
+TILE = 16  # places whose counts are one row
 LARGE = 64  # rows of a block from which columns are counted by name instead of pairing rows
 
 
@@ -28,28 +31,91 @@ def masks(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.where(F.length("text") > 0).select("block_id", "row_idx", *keep, parts.alias("chunk", "piece")).select("block_id", "row_idx", *keep, "chunk", bits(F.rpad("piece", CHUNK, "-")).alias("mask"))
 
 
-def strips(rows: DataFrame, *keep: str) -> DataFrame:
-    """(block_id, row_idx, keep..., chunk, piece, mask, first, sign): ``masks`` with the place of a chunk's first base and the step to the next."""
+def narrow(rows: DataFrame) -> list[tuple[DataFrame, bool]]:
+    """(rows, one): the rows of blocks of CHUNK columns at most, whose strips are one to a row, and those of wider ones if there are any.
+
+    Strips that are one to a row lie as their rows do, so rows that are dealt and sorted by block are not sorted again.
+    """
+    wide = rows.where(F.length("text") > CHUNK).select("block_id")
+    if not wide.limit(1).count():
+        return [(rows, True)]
+    return [(rows.join(wide, "block_id", "left_anti"), True), (rows.join(wide, "block_id", "left_semi"), False)]
+
+
+def strips(rows: DataFrame, *keep: str, one: bool = False) -> DataFrame:
+    """(block_id, row_idx, keep..., chunk, piece, mask, first, sign): ``masks`` with the place of a chunk's first base and the step to the next.
+
+    If ``one``, texts are of one chunk and there is no column for it."""
+    sign = X.sign(F.col("strand")).cast("long")
+    start = X.pos_start(F.col("start"), F.col("strand"), F.col("source_length"))
+    if one:
+        each = rows.where(F.length("text") > 0).select("block_id", "row_idx", *keep, F.rpad("text", CHUNK, "-").alias("piece"), start.cast("long").alias("first"), sign.alias("sign"))
+        return each.select("block_id", "row_idx", *keep, "piece", bits(F.col("piece")).alias("mask"), "first", "sign")
     count = F.floor((F.length("text") - 1) / CHUNK).cast("int")
     piece = F.transform(F.sequence(F.lit(0), count), lambda i: F.rpad(F.substring(F.col("text"), i * CHUNK + 1, F.lit(CHUNK)), CHUNK, "-"))
     listed = F.transform("pieces", lambda x: F.struct(x.alias("piece"), bits(x).alias("mask")))
     none = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("at"))
     seen = F.aggregate("listed", none, lambda acc, x: F.struct((acc["n"] + F.bit_count(x["mask"])).alias("n"), F.concat(acc["at"], F.array(acc["n"])).alias("at")))["at"]
     each = rows.where(F.length("text") > 0).withColumn("pieces", piece).withColumn("listed", listed).withColumn("seen", seen)
-    sign = X.sign(F.col("strand")).cast("long")
-    first = X.pos_start(F.col("start"), F.col("strand"), F.col("source_length"))
-    out = each.select("block_id", "row_idx", *keep, first.alias("from"), sign.alias("sign"), F.posexplode(F.arrays_zip("listed", "seen")).alias("chunk", "x"))
+    out = each.select("block_id", "row_idx", *keep, start.alias("from"), sign.alias("sign"), F.posexplode(F.arrays_zip("listed", "seen")).alias("chunk", "x"))
     return out.select("block_id", "row_idx", *keep, "chunk", F.col("x.listed.piece").alias("piece"), F.col("x.listed.mask").alias("mask"), (F.col("from") + F.col("sign") * F.col("x.seen")).cast("long").alias("first"), "sign")
 
 
+# Steps (v, s) by which the columns without a base are left out of bits: those of v move by s to the right. ``odd`` has the bits that
+# stand left of gaps odd in number; the gaps are halved at each step. One expression: as columns they are too many for the optimizer.
+STEPS = """aggregate(array(1, 2, 4, 8, 16, 32), named_struct('m', mask, 'g', shiftleft(~mask, 1), 'steps', cast(array() AS array<struct<v: bigint, s: int>>)),
+ (acc, i) -> get(transform(array(aggregate(array(1, 2, 4, 8, 16, 32), acc.g, (x, k) -> x ^ shiftleft(x, k))), odd -> named_struct(
+ 'm', (acc.m ^ (odd & acc.m)) | shiftrightunsigned(odd & acc.m, i), 'g', acc.g & ~odd, 'steps', concat(acc.steps, array(named_struct('v', odd & acc.m, 's', i))))), 0)).steps"""
+# The columns ``both`` of a strip as bits of its bases; the last base is bit 0.
+SQUEEZED = "aggregate(own.steps, both, (x, step) -> (x & ~step.v) | shiftrightunsigned(x & step.v, step.s))"
+
+
+def met_tiles(strips_: DataFrame, of: list[str], other: list[str], when: str, shared: str = "own.mask & other.mask") -> DataFrame:
+    """(of..., o_other..., t, n0..n15): how many bases of the rows ``other`` share a column with each place of a row, by tiles of TILE places.
+
+    Rows of a block meet as in ``met``, but no column becomes a row: columns are bits of the row's places, added up tile by tile.
+    """
+    keys = [c for c in ("block_id", "chunk") if c in strips_.columns]
+    cols = list(dict.fromkeys(["row_idx", "mask", "first", "sign", *of]))
+    named = [c for c in strips_.columns if re.search(rf"\bown\.{c}\b", shared) and c not in cols]
+    others = list(dict.fromkeys(["row_idx", "mask", *other, *[c for c in strips_.columns if re.search(rf"\bother\.{c}\b", shared)]]))
+    gathered = strips_.select(*keys, *dict.fromkeys([*cols, *named, *others])).withColumn("rows", F.collect_list(F.struct(*others)).over(Window.partitionBy(*keys)))
+    # Places ascend with the bits on the - strand; on the + strand their complements do, and a tile's bits are turned.
+    low = "CASE WHEN sign > 0 THEN ~(first + bit_count(mask) - 1) ELSE first - bit_count(mask) + 1 END"
+    own = gathered.withColumn("steps", F.expr(STEPS)).withColumn("low", F.expr(low)).withColumn("turn", F.expr(f"CASE WHEN sign > 0 THEN {TILE - 1} ELSE 0 END"))
+    pair = own.select(F.struct(*cols, *named, "low", "turn", "steps").alias("own"), F.explode("rows").alias("other")).where(when)
+    bases = pair.withColumn("both", F.expr(shared)).where("both <> 0").withColumn("both", F.expr(SQUEEZED))
+    every = F.explode(F.array(*[F.lit(i) for i in range(2 + (CHUNK - 2) // TILE)])).alias("q")
+    flat = bases.select(*[F.col(f"own.{c}").alias(c) for c in of], *[F.col(f"other.{c}").alias(f"o_{c}") for c in other], F.col("own.low").alias("low"), F.col("own.turn").alias("turn"), "both", every)
+    word = f"CASE WHEN q = 0 THEN shiftleft(both, cast(low & {TILE - 1} AS int)) WHEN {TILE} * q - (low & {TILE - 1}) < 64 THEN shiftrightunsigned(both, cast({TILE} * q - (low & {TILE - 1}) AS int)) ELSE 0L END & {(1 << TILE) - 1}L"
+    cut = flat.withColumn("w", F.expr(word)).where("w <> 0").withColumn("t", F.expr("shiftright(low, 4) + q"))
+    cut = cut.withColumn("t", F.expr("CASE WHEN turn = 0 THEN t ELSE ~t END"))
+    return cut.groupBy(*of, *[f"o_{c}" for c in other], "t").agg(*[F.sum(F.expr(f"shiftright(w, {i} ^ turn) & 1")).alias(f"n{i}") for i in range(TILE)])
+
+
+def letters(strips_: DataFrame) -> DataFrame:
+    """Strips of upper-case texts with masks of what ``SAME`` compares: A, C, G and T (known, by the bits low and high) and what else is no N (rare)."""
+    plain = strips_.withColumn("plain", F.regexp_replace("piece", "[^ACGTN-]", "N"))
+    as_bits = lambda x: F.conv(x, 2, 10).cast("long")
+    marks = {"known": "111100", "one": "010100", "two": "001100"}
+    rare = F.when(F.col("plain") == F.col("piece"), F.lit(0).cast("long")).otherwise(as_bits(F.regexp_replace(F.regexp_replace("piece", "[ACGTN-]", "0"), "[^0]", "1")))
+    return plain.withColumns({c: as_bits(F.translate("plain", "ACGTN-", m)) for c, m in marks.items()}).withColumn("rare", rare).drop("plain")
+
+
+# The columns in which two strips have the same base; rare ones are compared as they stand.
+SAME = """(own.known & other.known & ~(own.one ^ other.one) & ~(own.two ^ other.two)) | CASE WHEN own.rare & other.rare = 0 THEN 0L ELSE own.rare & other.rare
+ & aggregate(sequence(1, {n}), 0L, (acc, i) -> shiftleft(acc, 1) | CASE WHEN substring(own.piece, i, 1) = substring(other.piece, i, 1) THEN 1L ELSE 0L END) END""".format(n=CHUNK)
+
+
 def met(strips_: DataFrame, of: list[str], other: list[str], when: str | Column, shared: str = "own.mask & other.mask") -> DataFrame:
     """(of..., o_other..., both, bit): the columns that every two rows of a block share, one row for each of them.
 
     The rows of a block (LARGE at most) are gathered once as an array; nothing as large as the cells is moved.
     """
-    together = Window.partitionBy("block_id", "chunk")
+    keys = [c for c in ("block_id", "chunk") if c in strips_.columns]
+    together = Window.partitionBy(*keys)
     cols, others = (list(dict.fromkeys(["row_idx", "mask", *c])) for c in (of, other))
-    gathered = strips_.select("block_id", "chunk", *dict.fromkeys([*cols, *others])).withColumn("rows", F.collect_list(F.struct(*others)).over(together))
+    gathered = strips_.select(*keys, *dict.fromkeys([*cols, *others])).withColumn("rows", F.collect_list(F.struct(*others)).over(together))
     pair = gathered.select(F.struct(*cols).alias("own"), F.explode("rows").alias("other")).where(when).withColumn("both", F.expr(shared)).where("both <> 0")
     every = F.explode(F.array(*[F.lit(i) for i in range(CHUNK)])).alias("bit")
     flat = pair.select(*[F.col(f"own.{c}").alias(c) for c in of], *[F.col(f"other.{c}").alias(f"o_{c}") for c in other], "both", every)
@@ -185,19 +251,20 @@ def coverage(rows: DataFrame, n_max: int = 1, identity: bool = False, by_species
     """(query, target, n, coverage): the share of the query genome's places with n or more aligned target bases.
 
     Every genome is a query at once. Rows of blocks of LARGE rows at most meet by masks, and their columns are counted by
-    place before they are moved. In larger blocks the bases of a column are counted by genome (and base)
+    tiles of places before they are moved. In larger blocks the bases of a column are counted by genome (and base)
     before they meet the query's cells, so a column of k rows costs k times its genomes; a row is taken off its own
     genome's count. Depths stop at 127.
     """
     genome = X.species(F.col("name")) if by_species else F.col("name")
     by = ["block_id", "col", "base"] if identity else ["block_id", "col"]
     small, crowded = _split(rows)
-    strip = strips(small.select("block_id", "row_idx", "name", "start", "strand", "source_length", (F.upper("text") if identity else F.col("text")).alias("text"), genome.alias("genome")), "name", "genome")
-    same = ["piece"] if identity else []
-    pair = met(strip, ["name", "first", "sign", "mask", *same], ["genome", *same], "own.row_idx <> other.row_idx")
-    if identity:
-        pair = pair.where("substring(piece, bit + 1, 1) = substring(o_piece, bit + 1, 1) AND substring(piece, bit + 1, 1) <> 'N'")
-    found = pair.select(F.col("o_genome").alias("target"), F.col("name").alias("qname"), place("first", "sign", "mask").alias("qpos"), F.lit(1).cast("long").alias("n"))
+    counts = None
+    for part, one in narrow(small):
+        strip = strips(part.select("block_id", "row_idx", "name", "start", "strand", "source_length", (F.upper("text") if identity else F.col("text")).alias("text"), genome.alias("genome")), "name", "genome", one=one)
+        tiles = met_tiles(letters(strip) if identity else strip, ["name"], ["genome"], "own.row_idx <> other.row_idx", *([SAME] if identity else []))
+        counts = tiles if counts is None else counts.unionByName(tiles)
+    lane = F.explode(F.array(*[F.struct((F.col("t") * TILE + i).alias("qpos"), F.col(f"n{i}").alias("n")) for i in range(TILE)])).alias("x")
+    found = counts.select(F.col("o_genome").alias("target"), F.col("name").alias("qname"), lane).select("target", "qname", "x.qpos", "x.n").where("n > 0")
     if crowded is not None:
         c = cells(crowded).withColumns({"genome": genome, "base": F.upper("base")})
         c = c.where("base <> 'N'") if identity else c
@@ -205,7 +272,7 @@ def coverage(rows: DataFrame, n_max: int = 1, identity: bool = False, by_species
         t = c.groupBy(*by, F.col("genome").alias("target")).agg(F.count(F.lit(1)).alias("n"))
         others = F.col("n") - (F.col("query") == F.col("target")).cast("long")
         found = found.unionByName(q.hint("merge").join(t, by).select("target", "qname", "qpos", others.alias("n")).where("n > 0"))
-    # Places are counted where their blocks are, before anything moves.
+    # Places are counted where their blocks are, by tiles, before anything moves; few rows of a place are left.
     depth = found.groupBy("target", "qname", "qpos").agg(F.least(F.sum("n"), F.lit(127)).alias("depth"))
     query = X.species(F.col("qname")) if by_species else F.col("qname")
     levels = depth.select(query.alias("query"), "target", F.explode(F.sequence(F.lit(1).cast("long"), F.least("depth", F.lit(n_max)))).alias("n")).groupBy("query", "target", "n").agg(F.count(F.lit(1)).alias("places"))

@@ -233,3 +233,45 @@ def test_items_of_both_alignments_are_dealt_before_they_have_texts(spark):
     t = compare.tiles(a, b, compare.numbered(compare.legit_names(a, b)))
     by, _ = dealt(t)
     assert [x for x in by if x.startswith(("block_id", "l_orderkey"))] == ["block_id"] * 2
+
+
+@pytest.mark.parametrize("identity", [False, True])
+def test_rows_of_a_block_are_not_sorted_by_chunk(spark, identity):
+    """Before, all strips were sorted once more, by block and chunk, and each shared column was a row."""
+    from colinear.operators import coverage
+    from colinear.plans.queries import alignment
+
+    p = coverage.coverage(alignment(spark, SF), identity=identity)._jdf.queryExecution().executedPlan().toString()
+    assert "chunk#" not in p and "bit#" not in p
+
+
+@pytest.mark.parametrize("identity", [False, True])
+def test_depths_of_wide_and_odd_texts(spark, identity):
+    """Texts of several chunks, of both strands, with letters that are no bases, beside narrow ones; by tiles and cell by cell."""
+    import random
+    from collections import Counter
+
+    from colinear.operators import coverage
+
+    rng, rows = random.Random(3), []
+    for b in range(12):
+        for r in range(5):
+            text = "".join(rng.choice("ACGTacgtNRY*--") for _ in range((62, 9, 150)[b % 3]))
+            n = len(text) - text.count("-")
+            rows.append((b, r, f"s{rng.randrange(3)}.c", rng.randrange(90), n, rng.choice("+-"), 400, text))
+    df = spark.createDataFrame(rows, "block_id long, row_idx long, name string, start long, length long, strand string, source_length long, text string")
+    depth, places = Counter(), {}
+    for b, r, name, start, _, strand, size, text in rows:
+        seen = 0
+        for i, x in enumerate(text.upper()):
+            if x != "-":
+                pos = start + seen if strand == "+" else size - 1 - start - seen
+                seen += 1
+                for b2, r2, other, *_, t in rows:
+                    if b2 == b and r2 != r and t[i] != "-" and (not identity or (x == t[i].upper() and x != "N")):
+                        depth[name[:2], other[:2], pos] += 1
+    for (q, t, _), n in depth.items():
+        for k in range(1, min(n, 4) + 1):
+            places[q, t, k] = places.get((q, t, k), 0) + 1
+    got = {(x["query"], x["target"], x["n"]): round(x["coverage"] * 400) for x in coverage.coverage(df, 4, identity).collect()}
+    assert got == places and len(got) > 9
