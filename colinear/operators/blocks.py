@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..sources.maf import cells
 from ..sources.shared import stored
-from .coverage import _split
+from .coverage import _split, narrow
 
 
 def block():  # noqa: ANN201
@@ -169,23 +169,42 @@ BITS_OF_THREE = 0.41503749927884  # what a code of three bases tells
 CODE_OF = ("N", "A", "C", "M", "G", "R", "S", "V", "T", "W", "Y", "H", "K", "D", "B", "N")
 
 
-def _codes(rows: DataFrame) -> DataFrame:
-    """(block_id, col, code): ``consensus`` of rows as they are dealt."""
-    each = rows.select("block_id", "row_idx", F.posexplode(F.split(F.upper("text"), "")).alias("col", "base")).where("base <> ''")
-    counts = each.groupBy("block_id", "col").agg(*[F.sum(((F.col("base") == b) & (F.col("row_idx") > 0)).cast("long")).alias(f"n_{b}") for b in "ACGTN"])
+def _code(counts: DataFrame) -> DataFrame:
+    """(block_id, col, code) of counts of A, C, G, T and N."""
     most = F.greatest(*[F.col(f"n_{b}") for b in "ACGTN"])
     mask = sum((F.when(F.col(f"n_{b}") == most, 1 << i).otherwise(0) for i, b in enumerate("ACGT")), F.lit(0))
     code = F.when((most == 0) | (F.col("n_N") == most), "N").otherwise(F.element_at(F.array(*map(F.lit, CODE_OF)), mask + 1))
     return counts.select("block_id", F.col("col").cast("long").alias("col"), code.alias("code"))
 
 
+def _codes(rows: DataFrame) -> DataFrame:
+    """(block_id, col, code): ``consensus`` of rows as they are dealt."""
+    each = rows.select("block_id", "row_idx", F.posexplode(F.split(F.upper("text"), "")).alias("col", "base")).where("base <> ''")
+    return _code(each.groupBy("block_id", "col").agg(*[F.sum(((F.col("base") == b) & (F.col("row_idx") > 0)).cast("long")).alias(f"n_{b}") for b in "ACGTN"]))
+
+
+def _codes_by_block(rows: DataFrame) -> DataFrame:
+    """``consensus`` of narrow blocks of LARGE rows at most: a block's texts are one row, and columns are counted block by block as they pass.
+
+    The counts of a column are bytes of a long, so nothing is held beyond one block."""
+    each = rows.select("block_id", "row_idx", F.upper("text").alias("text"))
+    below = F.collect_list(F.when(F.col("row_idx") > 0, F.col("text"))).over(block())
+    one = each.select("block_id", (F.col("row_idx") == F.min("row_idx").over(block())).alias("one"), F.max(F.length("text")).over(block()).alias("n"), below.alias("texts")).where("one AND n > 0")
+    byte = " ".join(f"WHEN '{b}' THEN {1 << 8 * i}L" for i, b in enumerate("ACGTN"))
+    counted = one.select("block_id", "texts", F.explode(F.sequence(F.lit(1), "n")).alias("at")).select("block_id", (F.col("at") - 1).alias("col"), F.expr(f"aggregate(texts, 0L, (acc, t) -> acc + CASE substring(t, at, 1) {byte} ELSE 0L END)").alias("c"))
+    return _code(counted.select("block_id", "col", *[F.expr(f"shiftright(c, {8 * i}) & 255").alias(f"n_{b}") for i, b in enumerate("ACGTN")]))
+
+
 def consensus(rows: DataFrame) -> DataFrame:
     """(block_id, col, code): the bases most frequent below the first row; N if N leads, or all four, or none.
 
     Rows are dealt by their block and counted there; columns of blocks of over LARGE rows are counted before they are moved.
     """
     small, crowded = _split(rows)
-    codes = _codes(small.repartition("block_id"))
+    codes = None
+    for part, one in narrow(small):
+        c = _codes_by_block(part) if one else _codes(part.repartition("block_id"))
+        codes = c if codes is None else codes.unionByName(c)
     return codes if crowded is None else codes.unionByName(_codes(crowded))
 
 

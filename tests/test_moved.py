@@ -275,3 +275,27 @@ def test_depths_of_wide_and_odd_texts(spark, identity):
             places[q, t, k] = places.get((q, t, k), 0) + 1
     got = {(x["query"], x["target"], x["n"]): round(x["coverage"] * 400) for x in coverage.coverage(df, 4, identity).collect()}
     assert got == places and len(got) > 9
+
+
+def test_columns_are_counted_block_by_block(spark):
+    """Before, the counts of all columns of a task's blocks were held at once."""
+    from colinear.operators import blocks
+    from colinear.plans.queries import alignment
+
+    p = blocks.consensus(alignment(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in p and p.count("Exchange hashpartitioning") == 1
+
+
+def test_consensus_of_narrow_wide_and_large_blocks(spark, monkeypatch):
+    """Blocks by themselves and by counts of all columns agree, with texts of unequal lengths, empty ones and other letters."""
+    import random
+
+    from colinear.operators import blocks, coverage
+
+    rng = random.Random(5)
+    rows = [(b, r, "".join(rng.choice("ACGTacgtNnR-") for _ in range(rng.choice((0, 30, 62) if b % 2 else (62, 150))))) for b in range(40) for r in range(1, 2 + b % 5)] + [(b, 0, "ACGT" * 9) for b in range(0, 40, 3)]
+    df = spark.createDataFrame(rows, "block_id long, row_idx long, text string")
+    got = sorted(map(tuple, blocks.consensus(df).collect()))
+    assert got == sorted(map(tuple, blocks._codes(df).collect())) and len(got) > 1000
+    monkeypatch.setattr(coverage, "LARGE", 2)
+    assert got == sorted(map(tuple, blocks.consensus(df).collect()))
